@@ -6,9 +6,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +65,20 @@ def _drop_all() -> None:
         drop_path(path)
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, having seen to it once a context that executors can import this package."""
+    context = df.sparkSession.sparkContext
+    if getattr(map_arrow, "sent_to", None) != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        map_arrow.sent_to = context.applicationId
+    return df.mapInArrow(f, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most_bytes`` of one string column, at least a row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import slices
+from weftgraph.llm._shared import map_arrow, slices
 
 ORDER = 3
 #: Symbols are bytes plus one; 0 stands before a text.
@@ -88,7 +88,7 @@ def fit(rows: DataFrame, max_docs: int = 1000, max_chars: int = 4_000_000) -> Pp
     for lang, r in sorted(stats.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / r["n"], max_chars / max(1, r["chars"])))).otherwise(share)
     chance = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    grams = known.filter(chance < share).select("lang", "text").mapInArrow(_counter, "lang string, gram long, n long")
+    grams = map_arrow(known.filter(chance < share).select("lang", "text"), _counter, "lang string, gram long, n long")
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
@@ -178,7 +178,7 @@ def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _predictor(model: PpmModel) -> Callable:
+def _predictor(model: PpmModel, keep_text: bool) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -192,17 +192,29 @@ def _predictor(model: PpmModel) -> Callable:
                     score = np.where(letters, 1 / odds, 0.0)
                 else:
                     lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-                kept = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
-                names = [x for x in part.schema.names if x != "text"]
+                names = [x for x in part.schema.names if keep_text or x != "text"]
+                kept = [part.column(x) for x in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return predict
 
 
-def predict(rows: DataFrame, model: PpmModel) -> DataFrame:
-    """``rows`` with ``text`` replaced by ``lang_pred`` and ``score``, the posterior of the best language from code lengths alone."""
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(_predictor(model), ", ".join([*schema, "lang_pred string", "score double"]))
+def predict(rows: DataFrame, model: PpmModel, keep_text: bool = False) -> DataFrame:
+    """``rows`` with ``lang_pred`` and ``score``, the posterior of the best language from code lengths alone; ``text`` goes unless kept."""
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text"]
+    return map_arrow(rows, _predictor(model, keep_text), ", ".join([*schema, "lang_pred string", "score double"]))
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_docs: int = 1000, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``df`` whose text is in a language that ``df`` itself teaches: not ``und``, and with at least ``min_score``.
+
+    Learns as ``identify_languages`` does. All columns stay as they are; null texts go, repeated rows stay.
+    """
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
+    model = fit(df.filter(~held).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), max_docs)
+    packed = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    kept = predict(packed, model, keep_text=True).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns])
 
 
 def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_docs: int = 1000) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import filesystem, materialize, new_path
+from weftgraph.llm._shared import filesystem, map_arrow, materialize, new_path
 
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     where, root = filesystem(folder)
     where.create_dir(root, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).cast("binary").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
-    return materialize(rows.mapInArrow(_archiver(folder), RECORD), "warc-records")
+    return materialize(map_arrow(rows, _archiver(folder), RECORD), "warc-records")
 
 
 def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -209,7 +209,7 @@ def normalise_archives(spark: SparkSession, records: DataFrame, min_bytes: int =
     again = revisits(records, min_bytes).groupBy("archive").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("r"))
     plan = names.join(again, "archive", "left").select("archive", F.coalesce("r.ordinal", F.array().cast("array<long>")).alias("ordinals"), F.coalesce("r.refers_to", F.array().cast("array<long>")).alias("targets"))
     n = max(1, names.count())
-    return materialize(plan.repartition(n, "archive").mapInArrow(_normaliser(folder), INDEX), "warc-index")
+    return materialize(map_arrow(plan.repartition(n, "archive"), _normaliser(folder), INDEX), "warc-index")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Every record that ``index`` names, by its offset; a response's payload is held against its digest (READ)."""
-    return index.select("archive", "offset", "length").mapInArrow(_reader, READ)
+    return map_arrow(index.select("archive", "offset", "length"), _reader, READ)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
