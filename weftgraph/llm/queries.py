@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftgraph.llm.extract import extract_text
+from weftgraph.llm.hamming import sign_code, top_k
 from weftgraph.llm.langid import identify_languages
+from weftgraph.llm.lattice import embedding_components
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.secrets import scan_secrets
 from weftgraph.llm.simhash import simhash_components
@@ -22,6 +26,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every embedding whose id is divisible by 50, among all of them."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", sign_code("embedding").alias("code"))
+    return top_k(vectors, "code", "vec_id", F.col("vec_id") % 50 == 0, k=10)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -30,6 +40,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -38,10 +52,28 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op3_warc, op5_language_id, op8_simhash, op9_secret_scan]
+    found = [op1_packing, op2_hamming_top_k, op3_warc, op5_language_id, op7_html_extraction, op8_simhash, op9_secret_scan, op10_lattice_near_dedup]
     return {f.__name__: f for f in found}
 
 
+#: Brute force over all pairs of a query and a row; Spark's ranks and distances are int, so are these.
+OP2_SQL = """
+with v as (select vec_id, embedding from embeddings where vec_id is not null and embedding is not null),
+d as (
+  select q.vec_id as query_id, c.vec_id as neighbor_id,
+         cast(list_sum(list_transform(list_zip(q.embedding[1:64], c.embedding[1:64]),
+              lambda z: cast((coalesce(z[1], 0) > 0) <> (coalesce(z[2], 0) > 0) as int))) as int) as distance
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by distance, neighbor_id) as int) as rank, neighbor_id, distance
+from d qualify row_number() over (partition by query_id order by distance, neighbor_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_hamming_top_k": OP2_SQL}
