@@ -65,17 +65,22 @@ def _drop_all() -> None:
         drop_path(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow``, having seen to it once a context that executors can import this package."""
-    context = df.sparkSession.sparkContext
-    if getattr(map_arrow, "sent_to", None) != context.applicationId:
+def ship(spark: SparkSession) -> None:
+    """See to it, once a context, that executors can import this package."""
+    context = spark.sparkContext
+    if getattr(ship, "sent_to", None) != context.applicationId:
         package = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
         with zipfile.ZipFile(archive, "w") as out:
             for file in sorted(package.rglob("*.py")):
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(str(archive))
-        map_arrow.sent_to = context.applicationId
+        ship.sent_to = context.applicationId
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, with this package at hand on executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

@@ -12,6 +12,7 @@ from weftgraph.llm.extract import extract_text
 from weftgraph.llm.hamming import sign_code, top_k
 from weftgraph.llm.langid import identify_languages
 from weftgraph.llm.lattice import embedding_components
+from weftgraph.llm.ngrams import backoff_scores
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.secrets import scan_secrets
 from weftgraph.llm.simhash import simhash_components
@@ -36,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_hamming_top_k, op3_warc, op5_language_id, op7_html_extraction, op8_simhash, op9_secret_scan, op10_lattice_near_dedup]
+    found = [op1_packing, op2_hamming_top_k, op3_warc, op4_lm_scoring, op5_language_id, op7_html_extraction, op8_simhash, op9_secret_scan, op10_lattice_near_dedup]
     return {f.__name__: f for f in found}
 
 
