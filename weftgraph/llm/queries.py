@@ -14,6 +14,7 @@ from weftgraph.llm.langid import identify_languages
 from weftgraph.llm.lattice import embedding_components
 from weftgraph.llm.ngrams import backoff_scores
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.pieces import encode_pieces
 from weftgraph.llm.secrets import scan_secrets
 from weftgraph.llm.simhash import simhash_components
 from weftgraph.llm.warc import warc_round_trip
@@ -45,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -62,7 +67,7 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_hamming_top_k, op3_warc, op4_lm_scoring, op5_language_id, op7_html_extraction, op8_simhash, op9_secret_scan, op10_lattice_near_dedup]
+    found = [op1_packing, op2_hamming_top_k, op3_warc, op4_lm_scoring, op5_language_id, op6_pieces, op7_html_extraction, op8_simhash, op9_secret_scan, op10_lattice_near_dedup]
     return {f.__name__: f for f in found}
 
 
