@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,18 +27,50 @@ from weftgraph.llm._shared import map_arrow, materialize, slices
 CAPACITY = 4096
 #: Groups into which the pieces of one length are salted.
 SALT = 1024
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, in each of two generations; a longer text may exceed it while it is encoded.
+REMEMBERED = 300_000
 # How the tokenizer file splits normalised text, and characters for which splitting here is the same.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 OTHER = re.compile("[^\t\n\r -~\xa1-ɏ‐-‧‰-⁞]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter of each byte: the printable ones stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+class _Remembered(dict):
+    """Ids of a split word, or of what stands between white space, encoded by the tokenizer's model when first asked for.
+
+    Two generations: when the younger is full it becomes the older, from which what is asked for again comes back.
+    """
+
+    def __init__(self, model) -> None:
+        self.model, self.letters, self.older = model, _byte_letters(), {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = [chunk] if chunk.isalpha() else SPLIT.findall(chunk)
+            if len(parts) == 1:
+                mapped = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            else:
+                ids = b"".join([self[w] for w in parts])
+        self[chunk] = ids
+        return ids
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer encodes each split word by itself, so words are remembered; a text with characters whose normalisation could
-    differ here goes through the tokenizer as a whole.
+    The tokenizer encodes each split word by itself, and words do not span white space, so both are remembered, up to a bound; a
+    text with characters whose normalisation could differ here goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,21 +78,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self.tokenizer.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if OTHER.search(t) else SPLIT.findall(t.lower()) for t in texts]
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({w for ws in words if ws for w in ws})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ws in zip(texts, words, strict=True)]
+        out = []
+        for text in texts:
+            if OTHER.search(text):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(self.known.__getitem__, text.lower().split())))
+            if len(self.known) > REMEMBERED:
+                self.known.age()
+        return out
 
 
 @functools.cache
