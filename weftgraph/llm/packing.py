@@ -28,7 +28,7 @@ CAPACITY = 4096
 #: Groups into which the pieces of one length are salted.
 SALT = 1024
 #: Words whose ids a worker remembers, in each of two generations; a longer text may exceed it while it is encoded.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 # How the tokenizer file splits normalised text, and characters for which splitting here is the same.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 OTHER = re.compile("[^\t\n\r -~\xa1-ɏ‐-‧‰-⁞]")
