@@ -45,7 +45,7 @@ def _padded(batch_texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
     sizes = np.diff(offsets)
     starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])
-    out = np.zeros(int(starts[-1]), np.int64)
+    out = np.zeros(int(starts[-1]), np.int32)
     if sizes.sum():
         data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         out[np.arange(len(data)) + np.repeat(np.arange(1, len(sizes) + 1) * ORDER, sizes)] = data
@@ -68,6 +68,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, starts = _padded(_texts(part.filter(pa.array(langs == lang)), "text"))
                 if len(s) <= ORDER:
                     continue
+                s = s.astype(np.int64)
                 gram = ((s[:-3] * BASE + s[1:-2]) * BASE + s[2:-1]) * BASE + s[3:]
                 gram, n = np.unique(gram[s[3:] > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
@@ -162,14 +163,14 @@ def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
     if len(s) <= ORDER or not model.langs:
         return out
     w = model.width
-    c = np.concatenate([[0], model.symbol])[s].astype(np.int64)
+    c = np.concatenate([[0], model.symbol]).astype(np.int32)[s]
     context = (c[:-3] * w + c[1:-2]) * w + c[2:-1]
-    at = model.state[context].astype(np.int64) * w + c[3:]
+    at = model.state[context] * np.int32(w) + c[3:]
     ends = starts[1:] - ORDER  # in the shifted coordinates a text's own bytes end here
     for first in range(0, len(texts), 512):
         lo, hi = int(starts[first]), int(ends[min(first + 512, len(texts)) - 1])
-        for k in range(lo, hi, 1 << 20):  # long texts in pieces, so that the gathered rows stay few
-            top = min(hi, k + (1 << 20))
+        for k in range(lo, hi, 1 << 18):  # long texts in pieces, so that the gathered rows stay few
+            top = min(hi, k + (1 << 18))
             rows = model.bits[at[k:top]].astype(np.float64)
             rows[s[k + ORDER : top + ORDER] == 0] = 0
             doc = np.searchsorted(starts, np.arange(k, top), side="right") - 1
