@@ -28,8 +28,8 @@ from weftgraph.llm._shared import map_arrow, slices
 
 MARK = "▁"
 NONE = 1 << 60
-#: Units that a worker remembers; a longer text may exceed it while it is encoded.
-REMEMBERED = 500_000
+#: Units that a worker remembers, in each of two generations; a longer text may exceed it while it is encoded.
+REMEMBERED = 400_000
 #: Where a text may be cut into units: before word marks, and between letters and others if no piece spans that.
 COARSE = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 FINE = re.compile(f"\n|{MARK}*[A-Za-zÀ-ɏ]+|{MARK}*[^{MARK}\nA-Za-zÀ-ɏ]+|{MARK}+")
@@ -51,6 +51,15 @@ class PieceModel:
         self.pieces = pieces
         self.byte_ids = byte_ids
         self.byte_score = min((s for _, s in pieces.values()), default=0) - 10
+        # (what follows, score, id) by letter; score and id are None where no piece ends
+        self.trie: dict[str, list] = {}
+        for piece, (i, score) in pieces.items():
+            below = self.trie
+            for c in piece:
+                node = below.setdefault(c, [{}, None, None])
+                below = node[0]
+            node[1], node[2] = score, i
+        self.n_best = functools.lru_cache(20_000)(self.search)
         # a piece, or None for what only starts one
         self.table = dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p) + 1)) | pieces
         self.units = next(cut for cut in (FINE, COARSE) if all(len(cut.findall(p)) == 1 for p in pieces if "\n" not in p))
@@ -82,28 +91,49 @@ class PieceModel:
                 best[j], via[j] = s, e
         return best, via
 
-    def best(self, unit: str) -> tuple[int, int, tuple[int, ...]]:
-        """Score of the best segmentation, how much less the second-best scores (NONE if there is none), and the best's ids."""
-        n = len(unit)
-        edges = self.lattice(unit)
-        best, via = self.forward(edges, n)
-        path, ids, j = set(), [], n
+    def best(self, unit: str) -> tuple[int, int, list[int]]:
+        """Score of the best segmentation, how much less the second-best scores (NONE if there is none), and the best's ids.
+
+        The forward pass with the two best scores of each prefix; of equal ones the longest piece comes first."""
+        n, root = len(unit), self.trie
+        first, second = [0] + [-NONE] * n, [-NONE] * (n + 1)
+        via: list[int] = [0] * (n + 1)
+        ids: list = [None] * (n + 1)
+        for i in range(n):
+            one, two = first[i], second[i]
+            below, j = root, i
+            for c in unit[i:]:
+                node = below.get(c)
+                if node is None:
+                    break
+                below, s, x = node
+                j += 1
+                if s is not None:
+                    v, top = one + s, first[j]
+                    if v > top:
+                        w = two + s
+                        second[j] = w if w > top else top
+                        first[j], via[j], ids[j] = v, i, x
+                    elif v > second[j]:
+                        second[j] = v
+            if unit[i] not in self.pieces:  # bytes for a character
+                data, j = unit[i].encode(), i + 1
+                s = self.byte_score * len(data)
+                v, top = one + s, first[j]
+                if v > top:
+                    second[j] = max(top, two + s)
+                    first[j], via[j], ids[j] = v, i, tuple(self.byte_ids[b] for b in data)
+                elif v > second[j]:
+                    second[j] = v
+        own, j = [], n
         while j:
-            e = via[j]
-            path.add((e[0], j))
-            ids.append(e[3])
-            j = e[0]
-        rest, second = [-NONE] * n + [0], -NONE
-        for i, j, s, _ in reversed(edges):
-            s += rest[j]
-            if s > rest[i]:
-                rest[i] = s
-            if best[i] + s > second and (i, j) not in path:
-                second = best[i] + s
-        own = tuple(x for e in reversed(ids) for x in (e if isinstance(e, tuple) else (e,)))
-        return best[n], (best[n] - second if second > -NONE else NONE), own
-
-    def n_best(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+            x = ids[j]
+            own.extend(reversed(x)) if isinstance(x, tuple) else own.append(x)
+            j = via[j]
+        own.reverse()
+        return first[n], (first[n] - second[n] if second[n] > -NONE // 2 else NONE), own
+
+    def search(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """Up to ``n`` segmentations, best first: (score, ids). Backward A* search under the forward scores; of equal scores, which
         comes first follows from the order of the search, and is the same each time."""
         edges = self.lattice(unit)
@@ -133,41 +163,37 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, without the word mark that encoding puts first; ids without text give none."""
-        data = b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
-        return data.removeprefix(" ")
+        try:
+            data = b"".join(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            data = b"".join([self.bytes_of.get(i, b"") for i in ids])
+        return data.decode("utf-8", "replace").removeprefix(" ")
 
 
 class Encoder(dict):
-    """Numbers of units; the lists hold what is known of each."""
+    """(score, loss, ids) of units. Two generations: when the younger is full it becomes the older, from which units come back."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.ids: list[bytes] = []
-        self.scores, self.losses = array("q"), array("q")
-
-    def __missing__(self, unit: str) -> int:
-        score, loss, ids = self.model.best(unit)
-        n = self[unit] = len(self.ids)
-        self.ids.append(np.array(ids, "<u4").tobytes())
-        self.scores.append(score)
-        self.losses.append(loss)
-        return n
+        self.model, self.older = model, {}
+
+    def __missing__(self, unit: str) -> tuple[int, int, bytes]:
+        found = self.older.get(unit)
+        if found is None:
+            score, loss, ids = self.model.best(unit)
+            found = score, loss, array("I", ids).tobytes()
+        self[unit] = found
+        return found
 
     def n_best(self, text: str, n: int) -> list[tuple[int, bytes]]:
         """Up to ``n`` segmentations of a text, best first: (score, ids as little-endian unsigned 32-bit)."""
         units = self.model.units_of(text)
-        numbers = list(map(self.__getitem__, units))
-        parts = list(map(self.ids.__getitem__, numbers))
-        where = np.array(numbers, np.int64)
-        total = int(np.frombuffer(self.scores, np.int64)[where].sum()) if units else 0
+        if not units:
+            return [(0, b"")]
+        scores, losses, parts = zip(*map(self.__getitem__, units), strict=True)
+        total = sum(scores)
         out = [(total, b"".join(parts))]
-        if n > 1 and units:
-            losses = np.frombuffer(self.losses, np.int64)[where]
-            few = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else self._least(losses, n - 1)
+        if n > 1:
+            few = self._least(np.array(losses, np.int64), n - 1) if len(losses) > n else np.argsort(losses, kind="stable")[: n - 1]
             lists = [(int(p), self.model.n_best(units[p], n)) for p in few if losses[p] < NONE]
             sums: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
             for at, found in lists:
@@ -177,10 +203,11 @@ class Encoder(dict):
             for loss, chosen in sums[1:]:
                 other = list(parts)
                 for at, k in chosen:
-                    other[at] = np.array(by_place[at][k][1], "<u4").tobytes()
+                    other[at] = array("I", by_place[at][k][1]).tobytes()
                 out.append((total - loss, b"".join(other)))
-        if len(self.ids) > REMEMBERED:
-            self.forget()
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
         return out
 
     @staticmethod
