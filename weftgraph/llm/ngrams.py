@@ -21,14 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import map_arrow, materialize, ship, slices
+from weftgraph.llm._shared import map_arrow, materialize, ship, slices, trim
 
 ORDER = 3
 #: The factor of each step back, and how often an n-gram must occur to be used (one that occurs once is only the text's own).
 BACKOFF, MIN_COUNT = 0.4, 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: N-grams of all orders that a bucket holds, about.
-BUCKET = 3_000_000
+BUCKET = 1_000_000
 
 CHUNK = "docs array<long>, sizes array<int>, words binary, heads binary, n long"
 SCORES = "id long, n_words long, log_score double, n_by_order array<long>"
@@ -37,7 +37,7 @@ SCORES = "id long, n_words long, log_score double, n_by_order array<long>"
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers by byte planes, compressed; planes that are zero throughout cost next to nothing."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -66,7 +66,7 @@ class _Numbers(dict):
 
 
 def number_words(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Words of each text, word numbers of all texts one after the other, and the sorted word hashes that they count through."""
+    """Words of each text, word numbers of all texts one after the other, and the word hashes that they count through."""
     known = _Numbers()
     get = known.__getitem__
     sizes, flat = [], []
@@ -75,9 +75,11 @@ def number_words(texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         sizes.append(len(words))
         flat.append(np.fromiter(map(get, words), np.int64, len(words)))
     hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in known], np.uint64)
-    heads, place = np.unique(hashes, return_inverse=True)
     numbers = np.concatenate(flat) if flat else np.empty(0, np.int64)
-    return sizes, place[numbers] if len(numbers) else numbers, heads
+    by_count = np.argsort(-np.bincount(numbers, minlength=len(hashes)), kind="stable")  # frequent words get short numbers
+    rank = np.empty(len(hashes), np.int64)
+    rank[by_count] = np.arange(len(hashes))
+    return sizes, rank[numbers], hashes[by_count]
 
 
 def grams_of(numbers: np.ndarray, heads: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -99,12 +101,12 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", CHUNK_BYTES):
             sizes, numbers, heads = number_words(part.column("text").to_pylist())
-            cols = [pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(numbers)], pa.binary()), pa.array([pack_sorted(heads)], pa.binary()), pa.array([len(numbers)])]
+            cols = [pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(numbers)], pa.binary()), pa.array([pack(heads)], pa.binary()), pa.array([len(numbers)])]
             yield pa.RecordBatch.from_arrays(cols, names=["docs", "sizes", "words", "heads", "n"])
 
 
 def _chunk_grams(row: dict, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return grams_of(unpack(row["words"]).astype(np.int64), unpack_sorted(row["heads"]), np.array(row["sizes"], np.int64), order, bits)
+    return grams_of(unpack(row["words"]).astype(np.int64), unpack(row["heads"]), np.array(row["sizes"], np.int64), order, bits)
 
 
 def _bucket_cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -140,6 +142,7 @@ def _answer(order: int) -> Callable:
             told = total[place].astype(np.uint64) if len(place) else np.empty(0, np.uint64)
             for k, part in enumerate(np.split(told, np.cumsum([len(a) for a in asked])[:-1])):
                 out[k].append(pack(part))
+        trim()
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array(out, pa.list_(pa.binary()))], names=["chunk", "bucket", "told"])
 
     return answer
@@ -178,7 +181,8 @@ def _scorer(order: int, bits: int, total: int, backoff: float, min_count: int) -
         sizes = np.array(row["sizes"], np.int64)
         each, used = score_words(grams, counts, int(sizes.sum()), total, backoff, min_count)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        sums = np.bincount(doc, each, len(sizes))
+        sums = np.bincount(doc, each, len(sizes)).astype(np.float64)
+        trim()
         by_order = np.stack([np.bincount(doc, used == n, len(sizes)) for n in range(1, order + 1)], axis=1).astype(np.int64)
         return pa.table([pa.array(row["docs"], pa.int64()), pa.array(sizes), pa.array(sums), pa.array(by_order.tolist(), pa.list_(pa.int64()))], names=["id", "n_words", "log_score", "n_by_order"])
 
