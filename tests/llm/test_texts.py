@@ -311,10 +311,11 @@ def test_blocks():
     html = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href="/x">menu</a></nav>
     <div class="cookie-notice">We use cookies</div><article><header><h1>Head &amp; tail</h1></header><p>One<br>two&nbsp;<b>three</b> &#233;<p>Four <script>x="</p>";</script>five<ul><li>a<li>b</ul>
     <form><p>mail</p></form><div class="comments"><p>first!</p></div><aside>more</aside><div id="ad-3">buy</div><p>end</article><footer>&copy; x</footer></body></html>"""
-    assert [t for z, t in blocks_of(html) if z == 2] == ["Head & tail", "One two three é", "Four five", "a", "b", "end"]
+    assert [t for z, t in blocks_of(html) if z == 3] == ["Head & tail", "One two three é", "Four five", "a", "b", "end"]
     assert blocks_of("") == [] and blocks_of("a < b <") == [(1, "a < b <")]
     assert [t for z, t in blocks_of('<div hidden>x</div><p title="a>b">y</p><!-- <p>no</p> --><p>z') if z] == ["y", "z"]
-    assert blocks_of("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == [(2, "deep")]
+    assert blocks_of("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == [(3, "deep")]
+    assert blocks_of('<main><h1>m</h1><article>a</article></main><div role="main">r</div><div class="x entry-content">c</div><div itemprop="articleBody">b</div>') == [(2, "m"), (3, "a"), (2, "r"), (2, "c"), (3, "b")]
 
 
 def test_host_boilerplate(spark):
@@ -331,6 +332,8 @@ def test_host_boilerplate(spark):
     assert by[4]["text"] == f"{bar}\nkept as it is" and by[4]["by_markup"]
     assert by[5]["text"] == by[6]["text"] == "" and by[5]["url"] is None
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+    marked = spark.createDataFrame([(1, "http://h/1", "<p>out</p><main><p>teaser</p><article>text</article></main>"), (2, "http://h/2", "<p>out</p><main><p>text</p></main>")], "page_id long, url string, html string")
+    assert {r["text"] for r in extract_text(marked).collect()} == {"text"}
     assert extract_text(df.limit(0)).count() == 0
     assert unique_runs([(1, "a b c d"), (0, "x y"), (1, "c d e")], {1}, 3) == "a\nc d e"
 
