@@ -85,5 +85,76 @@ from d qualify row_number() over (partition by query_id order by distance, neigh
 """
 
 
+#: SHA-1 from hex to base32: five hex digits are four base32 digits.
+OP3_SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages),
+d as (
+  select page_id, cast(payload_bytes as bigint) as payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(hex, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)), '') as payload_digest,
+         min(page_id) over (partition by hex) as first_id
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from d
+"""
+
+#: Positions are sums of the lengths of matches and of what lies between them.
+OP9_SQL = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t, coalesce(source, '') as o from documents),
+pat(kind) as (values (0), (1), (2)),
+hits as (
+  select row, kind, case kind
+           when 0 then regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+           when 1 then regexp_extract_all(t, 'AKIA[A-Z0-9]+') else regexp_extract_all(t, '[0-9a-f]{32,}') end as m,
+         case kind when 0 then regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) end as v,
+         case kind
+           when 0 then string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+           when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+') else string_split_regex(t, '[0-9a-f]{32,}') end as s, o
+  from d cross join pat
+),
+each as (select row, kind, o, m, s, v, unnest(range(1, len(m) + 1)) as i from hits),
+spans as (
+  select row, kind, o, coalesce(v[i], m[i]) as value,
+         cast(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as first, length(m[i]) as n
+  from each
+),
+base as (select row, kind, o, value, first, first + n as last from spans where length(value) >= case kind when 0 then 8 when 1 then 16 else 32 end),
+owners as (select value, count(distinct o) as owners from base group by value),
+judged as (select b.*, owners, owners < 3 and len(list_distinct(string_split(b.value, ''))) >= 6 as live from base b join owners using (value)),
+every as (
+  select distinct row, first, kind, last from judged
+  union select distinct row, last - length(value), 3, last from judged where live
+),
+listed as (
+  select row, string_agg(array['assign', 'access', 'hex', 'live'][kind + 1] || ':' || first || ':' || last, ',' order by first, kind, last) as spans,
+         string_agg(case when kind < 3 then array['assign', 'access', 'hex', 'live'][kind + 1] || ':' || first || ':' || last end, ',' order by first, kind, last) as base,
+         count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex
+  from every group by row
+),
+found as (select row, count(distinct value) filter (live) as n_live, count(distinct value) filter (owners >= 3) as n_shared, max(owners) as max_owners from judged group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+       coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_shared, 0) as n_shared, coalesce(max_owners, 0) as max_owners
+from d left join listed using (row) left join found using (row)
+"""
+
+#: All pairs of a label, and reachability step by step.
+OP10_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, least(a, min(b)) as component_id from reach group by a),
+n as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept
+from embeddings left join n on n.a = vec_id left join least on least.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hamming_top_k": OP2_SQL}
+    """SQL for those operators that it can express; the others are held against brute force in tests."""
+    return {"op2_hamming_top_k": OP2_SQL, "op3_warc": OP3_SQL, "op9_secret_scan": OP9_SQL, "op10_lattice_near_dedup": OP10_SQL}
