@@ -94,6 +94,15 @@ def test_inner_edges(spark):
     assert g.V("1").outE("knows").values("weight").next() == 0.5
 
 
+def test_inner_edges_after_mutation(spark):
+    df = spark.createDataFrame([("1", "a", "2"), ("2", "b", None)], "id string, name string, up string")
+    inner = {"id": "@id", "label": "up", "direction": "OUT", "vertex": {"ref": True, "id": "@up", "label": "n"}}
+    g = Graph.of(spark, {"vertices": [{"table": "t", "id": "@id", "label": "n", "properties": {"name": "@name"}, "edges": [inner]}]}, {"t": df}).traversal()
+    assert g.V("1").out("up").values("name").toList() == ["b"] and g.V("2").in_("up").values("name").toList() == ["a"]
+    g.E("1").drop().iterate()
+    assert g.V("1").out("up").count().next() == 0 and g.V("2").in_("up").count().next() == 0 and g.V().count().next() == 2
+
+
 def test_full_endpoint(spark):
     df = spark.createDataFrame([("1", "marko", "3", "lop", "e1"), ("2", "josh", "3", "lop", "e2")], "id string, name string, sid string, sname string, eid string")
     inner = {"id": "@eid", "label": "created", "direction": "OUT", "vertex": {"ref": False, "id": "@sid", "label": "software", "properties": {"name": "@sname"}}}
@@ -203,6 +212,9 @@ def test_plans(spark, tmp_path):
     found = plan(g.V("host", 1).values("name"))
     assert found.count("FileScan") == 1 and "EqualTo(id,1)" in found and "rack" not in found.partition("ReadSchema")[2]
     assert plan(g.V().hasLabel("host").out("in_rack").count()).count("FileScan") == 1  # the row holds the edge
+    assert plan(g.V().hasLabel("rack").in_("in_rack").has("name", "a").values("name")).count("FileScan") == 2  # the far row, once
+    assert "EqualTo(name,a)" in plan(g.V().hasLabel("rack").in_("in_rack").has("name", "a").count())
+    assert g.V().hasLabel("rack").in_("in_rack").values("name").toList() == ["a"]
     assert plan(g.V().hasLabel("host").out("owns").count()).count("FileScan") == 2  # no person table
     assert plan(g.V().hasLabel("host").out("owns").values("name")).count("FileScan") == 3
     assert "LeftSemi" in plan(g.V().hasLabel("host").where(__.out("owns")).id())

@@ -217,7 +217,7 @@ class Base:
         single = found[0][0] if len(found) == 1 else None
         own: list[Foreign] = []
         if single is not None and foreign:
-            for e in single.inner:
+            for e in (e for e in single.inner if e.df is single.df):  # mutations part an edge's rows from its vertex's
                 own.append(Foreign(e, {x: fresh("f") for x in ("ok", "id", "label", "far_key", "far_label", *[f"p:{k}" for k in e.properties])}))
         parts = []
         for m, rows in found:
@@ -287,6 +287,23 @@ class Base:
         edge = Edge(id_, label, join_labels(e.labels for e, *_ in found), ends, columns, kinds, far_v)
         return df, edge, near_v
 
+    def row_relation(self, e: EdgeMapping, edge_predicates: list[tuple[str, P]], predicates: list[tuple[str, P]]) -> tuple[DataFrame, Vertex, Vertex] | None:
+        """An inner edge met from its far end: the near vertex, and the row's own vertex with its properties, from one scan."""
+        m = e.owner
+        conditions = [e.condition(k, p) for k, p in [*edge_predicates, *self.implied("edge")]]
+        found = None if any(c is None for c in conditions) else self.vertex_relation([m], predicates)
+        if found is None or not self.allowed(e, edge_predicates):
+            return None
+        _, own = found
+        near_side = "in" if e.owner_side == "out" else "out"
+        near, nk, nl = e.end(near_side), fresh("key"), fresh("label")
+        rows = m.rows([*predicates, *self.implied("vertex")]).filter(all_of([*e.validity(), *conditions]))
+        cols = [near.id.expr().cast(e.end_kinds[near_side]).alias(nk), near.label.expr().cast("string").alias(nl), m.id.expr().cast(own.key_type).alias(own.key), m.label.expr().cast("string").alias(own.label)]
+        cols += [as_kind(m.properties[k].expr(), m.kinds[k], own.kinds[k]).alias(c) for k, c in own.props.items()]
+        for f in own.foreign:
+            cols += self._foreign_columns(f)
+        return rows.select(*cols), own, Vertex(nk, nl, e.end_kinds[near_side], near.label.known)
+
     # joins
 
     def same_vertex(self, a: Vertex, b: Vertex) -> Column:

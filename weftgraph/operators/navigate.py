@@ -98,6 +98,14 @@ class Navigate(Base):
         rows = [(held[id(e)], n) for e, n in pieces if id(e) in held and e.owner_side == n and not to_edge]
         joined = [(e, n) for e, n in pieces if not (id(e) in held and e.owner_side == n and not to_edge)]
         frames = [self._row_hop(frame, f, wanted) for f, _ in rows]
+        if not to_edge and not rows and len(joined) == 1 and self.own_rows(*joined[0]):
+            # the far vertex is the edge's own row: its properties come along, and its predicates reach the one scan
+            found = self.row_relation(joined[0][0], edge_predicates, predicates)
+            if found is None:
+                return replace(frame, cur=v.bare()).nothing()
+            df, far, near = found
+            left = replace(frame, cur=v.bare()).narrow()
+            return replace(left, df=left.df.join(df, self.same_vertex(v, near)), cur=far, order=())
         if joined and (found := self.edge_relation(joined, edge_predicates, props=to_edge)) is not None:
             df, edge, near = found
             left = replace(frame, cur=v.bare()).narrow()
@@ -106,6 +114,11 @@ class Navigate(Base):
         out = replace(out, order=())
         return out if to_edge or out.empty else self.narrow_vertices(out, predicates)
 
+    def own_rows(self, e: EdgeMapping, near: str) -> bool:
+        """Whether the far end of an edge is the row that holds it, and no other table has vertices like it."""
+        m = e.owner
+        return m is not None and e.owner_side == OTHER[near] and e.df is m.df and m.labels is not None and self.candidates(m.labels) == [m]
+
     def _row_hop(self, frame: Frame, f: Any, wanted: frozenset[str] | None) -> Frame:
         c, far_side = f.columns, OTHER[f.mapping.owner_side]
         condition = F.col(c["ok"])
