@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -35,15 +35,29 @@ class Endpoint:
     properties: dict[str, Property] = field(default_factory=dict)
 
 
+#: A table, or how to get it: a mapping that no traversal touches never opens its table.
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Mapping:
     """What vertex and edge mappings share: a table, id and label, and properties."""
 
-    def __init__(self, name: str, df: DataFrame, id_: Property, label: Property, properties: dict[str, Property], dynamic: bool, excluded: Iterable[str] = ()) -> None:
-        self.name, self.df, self.id, self.label, self.dynamic = name, df, id_, label, dynamic
+    def __init__(self, name: str, df: Source, id_: Property, label: Property, properties: dict[str, Property], dynamic: bool, excluded: Iterable[str] = ()) -> None:
+        self.name, self._df, self.id, self.label, self.dynamic = name, df, id_, label, dynamic
         self.properties = dict(properties)
         if dynamic:
             used = {f.split(".")[0].lower() for p in (id_, label, *properties.values()) for f in p.fields} | {e.lower() for e in excluded} | {k.lower() for k in properties}
-            self.properties |= {c: Field(c) for c in df.columns if c.lower() not in used}
+            self.properties |= {c: Field(c) for c in self.df.columns if c.lower() not in used}
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
 
     @property
     def labels(self) -> frozenset[str] | None:
@@ -104,7 +118,7 @@ class VertexMapping(Mapping):
 
 
 class EdgeMapping(Mapping):
-    def __init__(self, name: str, df: DataFrame, id_: Property, label: Property, properties: dict[str, Property], dynamic: bool, excluded: Iterable[str], out: Endpoint, in_: Endpoint, owner: VertexMapping | None = None, owner_side: str | None = None) -> None:
+    def __init__(self, name: str, df: Source, id_: Property, label: Property, properties: dict[str, Property], dynamic: bool, excluded: Iterable[str], out: Endpoint, in_: Endpoint, owner: VertexMapping | None = None, owner_side: str | None = None) -> None:
         ends = [f for e in (out, in_) for p in (e.id, e.label, *e.properties.values()) for f in p.fields]
         super().__init__(name, df, id_, label, properties, dynamic, [*excluded, *(ends if dynamic else [])])
         self.out, self.in_ = out, in_
@@ -154,49 +168,64 @@ def _source(config: dict[str, Any]) -> str:
     raise ValueError(f"no table, resource or index in {sorted(config)}")
 
 
-def _denormalised(name: str, df: DataFrame, e: Endpoint) -> VertexMapping:
+def _denormalised(name: str, df: Callable[[], DataFrame], e: Endpoint) -> VertexMapping:
     """Vertices that are given in full within edge rows: one of each id and label."""
-    named = {ID: e.id.expr(), LABEL: e.label.expr(), **{k: p.expr() for k, p in e.properties.items()}}
-    rows = df.filter(e.id.expr().isNotNull()).select(*[c.alias(k) for k, c in named.items()]).dropDuplicates([ID, LABEL])
+
+    def rows() -> DataFrame:
+        named = {ID: e.id.expr(), LABEL: e.label.expr(), **{k: p.expr() for k, p in e.properties.items()}}
+        return df().filter(e.id.expr().isNotNull()).select(*[c.alias(k) for k, c in named.items()]).dropDuplicates([ID, LABEL])
+
     label: Property = e.label if isinstance(e.label, Static) else Field(LABEL)
     return VertexMapping(f"{name} endpoint", rows, Field(ID), label, {k: Field(k) for k in e.properties}, False)
 
 
+def _virtual(config: dict[str, Any], df: Callable[[], DataFrame]) -> VertexMapping:
+    """Vertices without a table: the distinct ids in a column of another."""
+    id_ = build(config["id"])
+    ids = lambda: df().select(id_.expr().alias(ID)).filter(F.col(ID).isNotNull()).distinct()
+    return VertexMapping(f"virtual {config['label']}", ids, Field(ID), build(config["label"]), {}, False)
+
+
+def _items(own: VertexMapping, path: str) -> DataFrame:
+    """The items at a path of each vertex row (an array's, or the one object), with the vertex's own id and label beside them."""
+    found = quoted(path)
+    item = F.explode(found) if isinstance(own.df.select(found).schema[0].dataType, T.ArrayType) else found
+    rows = own.df.filter(own.id.expr().isNotNull()).select(own.id.expr().alias("~owner"), own.label.expr().alias("~owner_label"), item.alias("~item"))
+    return rows.select("~owner", "~owner_label", "~item.*")
+
+
 def parse(config: dict[str, Any], table: Callable[[str], DataFrame]) -> tuple[list[VertexMapping], list[EdgeMapping]]:
-    """The vertex and edge mappings of one provider. ``table`` gives the DataFrame of a source name."""
+    """The vertex and edge mappings of one provider. ``table`` gives the DataFrame of a source name, and is asked once a name."""
     vertices: list[VertexMapping] = []
     edges: list[EdgeMapping] = []
+    table = cache(table)
+    source = lambda name: lambda: table(name)
     for v in config.get("vertices", []):
+        df = source(_source(v))
         if v.get("virtual"):
-            # vertices without a table: the distinct ids in a column of another
-            df, id_ = table(_source(v)), build(v["id"])
-            ids = df.select(id_.expr().alias(ID)).filter(F.col(ID).isNotNull()).distinct()
-            own = VertexMapping(f"virtual {v['label']}", ids, Field(ID), build(v["label"]), {}, False)
-        else:
-            df, id_ = table(_source(v)), build(v["id"])
-            dynamic, fields, names = _dynamic(v)
-            inner = [f for e in v.get("edges", []) for f in ([e["path"]] if "path" in e else [])]
-            own = VertexMapping(_source(v), df, id_, build(v["label"]), _properties(v), dynamic, [*fields, *names, *inner])
+            vertices.append(_virtual(v, df))
+            continue
+        dynamic, fields, names = _dynamic(v)
+        paths = [e["path"] for e in v.get("edges", []) if "path" in e]
+        own = VertexMapping(_source(v), df, build(v["id"]), build(v["label"]), _properties(v), dynamic, [*fields, *names, *paths])
         vertices.append(own)
         for e in v.get("edges", []):
-            rows, vertex_id, vertex_label = df, id_, own.label
+            rows, near = df, Endpoint(own.id, own.label)
             if "path" in e:
-                # the item's fields stand beside the vertex's own id and label
-                item = F.explode(quoted(e["path"])) if isinstance(df.select(quoted(e["path"])).schema[0].dataType, T.ArrayType) else quoted(e["path"])
-                rows = df.filter(F.coalesce(*[k for k in own.validity()][:1])).select(id_.expr().alias("~owner"), own.label.expr().alias("~owner_label"), item.alias("~item")).select("~owner", "~owner_label", "~item.*")
-                vertex_id, vertex_label = Field("~owner"), own.label if isinstance(own.label, Static) else Field("~owner_label")
-            far, near = _endpoint(e["vertex"]), Endpoint(vertex_id, vertex_label)
+                rows = cache(lambda own=own, path=e["path"]: _items(own, path))
+                near = Endpoint(Field("~owner"), own.label if isinstance(own.label, Static) else Field("~owner_label"))
+            far = _endpoint(e["vertex"])
             outward = e.get("direction", "OUT").upper() == "OUT"
             ends = {"out": near if outward else far, "in_": far if outward else near}
             dynamic, fields, names = _dynamic(e)
             edge = EdgeMapping(f"{own.name}.{e.get('label')}", rows, build(e["id"]), build(e["label"]), _properties(e), dynamic, [*fields, *names, "~owner", "~owner_label"], **ends, owner=None if "path" in e else own, owner_side="out" if outward else "in")
             edges.append(edge)
-            if "path" not in e and not v.get("virtual"):
+            if "path" not in e:
                 own.inner.append(edge)
             if not far.ref:
                 vertices.append(_denormalised(edge.name, rows, far))
     for e in config.get("edges", []):
-        df = table(_source(e))
+        df = source(_source(e))
         dynamic, fields, names = _dynamic(e)
         out, in_ = _endpoint(e["outVertex"]), _endpoint(e["inVertex"])
         edges.append(EdgeMapping(_source(e), df, build(e["id"]), build(e["label"]), _properties(e), dynamic, [*fields, *names], out, in_))
