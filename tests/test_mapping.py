@@ -262,3 +262,14 @@ def test_anonymous_and_errors(spark):
         g.V().values("name").out().df()
     assert g.V().has(T.id, "n1").count().next() == 1
     assert g.V().has("name", eq("a")).hasNext()
+
+
+def test_jdbc(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string").write.format("jdbc").options(url=url, driver=driver, dbtable="hosts").save()
+    config = {"class": "JdbcSourceProvider", "driver": driver, "address": [url], "vertices": [typed("host", "hosts", name="name")]}
+    g = Graph.of(spark, config).traversal()
+    assert vals(g.V().values("name")) == ["a", "b"]
+    found = g.V("host", 2).values("name")
+    assert found.toList() == ["b"]
+    assert "EqualTo(ID,2)" in plan(found) or "EqualTo(id,2)" in plan(found)  # the database filters
