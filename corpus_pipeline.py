@@ -27,7 +27,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark that says whether they are someone's own or a copied example; no document goes."""
-    return mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def test_stages(spark, folder):
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(final.columns)
 
 
+def test_stages_keep_odd_columns(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "1 as id", "2 as key", "3 as `a.b c`", "4 as rest", "5 as score", "6 as __spans", "cast(null as string) as fp")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.materialize(stage(spark, docs, path), "odd")
+        assert docs.columns == columns
+    empty = docs.limit(0)
+    assert [stage(spark, empty, path).count() for _, stage in corpus_pipeline.STAGES] == [0] * 4
+
+
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]

@@ -259,7 +259,7 @@ def test_pieces_of_documents(spark, model_path, monkeypatch):
 
 
 def test_archives(spark):
-    rows = [(5, "http://a/5", "same", 1), (2, "http://a/2", "same", 1), (9, None, "same", 1), (3, "u\nv", None, 1), (4, "", "", 1), (7, "http://é/", "x" * 3_000_000 + "é\r\n\r\nWARC/1.1\r\n", 1), (8, "z", "single", 1), (8, "z", "single", 1), (-6, "n", "minus", 1)]
+    rows = [(5, "http://a/5", "same", 1), (2, "http://a/2", "same", 1), (9, None, "same", 1), (3, "u\nv", None, 1), (4, "", "", 1), (7, "http://é/", "x" * 3_000_000 + "é\r\n\r\nWARC/1.1\r\n", 1), (8, "z", "single", 1), (8, "z", "single", 1), (-6, "n", "minus", 1), (None, "n", "same", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, archive int").repartition(3)
     got = warc.warc_round_trip(df).collect()
     assert len(got) == len(rows)
@@ -268,7 +268,7 @@ def test_archives(spark):
         data = (html or "").encode()
         assert by[page]["payload_bytes"] == len(data) and by[page]["payload_digest"] == warc.digest_of(data)
         assert by[page]["payload"] in (data, None) and (by[page]["payload"] is None) == (by[page]["record_type"] == "revisit")
-    assert {p: (r["record_type"], r["refers_to"]) for p, r in by.items()} == {2: ("response", None), 5: ("revisit", 2), 9: ("revisit", 2), 3: ("response", None), 4: ("revisit", 3), 7: ("response", None), 8: ("response", None), -6: ("response", None)}
+    assert {p: (r["record_type"], r["refers_to"]) for p, r in by.items()} == {None: ("response", None), 2: ("response", None), 5: ("revisit", 2), 9: ("revisit", 2), 3: ("response", None), 4: ("revisit", 3), 7: ("response", None), 8: ("response", None), -6: ("response", None)}
     large = {r["page_id"]: r["record_type"] for r in warc.warc_round_trip(df, min_bytes=5).collect()}
     assert large[5] == "response" and large[4] == "response"
     assert warc.warc_round_trip(df.limit(0)).count() == 0

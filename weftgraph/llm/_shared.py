@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: list[str] = []
 
@@ -86,7 +87,7 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow``, with this package at hand on executors; a task gives its memory back when it ends."""
     ship(df.sparkSession)
 
@@ -99,6 +100,11 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def plain(name: str) -> str:
+    """A column's name as a reference that takes it as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``most_bytes`` of one string column, at least a row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

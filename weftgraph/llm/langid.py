@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.llm._shared import map_arrow, slices
+from weftgraph.llm._shared import map_arrow, plain, slices
 
 ORDER = 3
 #: Symbols are bytes plus one; 0 stands before a text.
@@ -202,8 +203,9 @@ def _predictor(model: PpmModel, keep_text: bool) -> Callable:
 
 def predict(rows: DataFrame, model: PpmModel, keep_text: bool = False) -> DataFrame:
     """``rows`` with ``lang_pred`` and ``score``, the posterior of the best language from code lengths alone; ``text`` goes unless kept."""
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text"]
-    return map_arrow(rows, _predictor(model, keep_text), ", ".join([*schema, "lang_pred string", "score double"]))
+    fields = [f for f in rows.schema if keep_text or f.name != "text"]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_arrow(rows, _predictor(model, keep_text), schema)
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_docs: int = 1000, min_score: float = 0.5) -> DataFrame:
@@ -213,7 +215,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
     model = fit(df.filter(~held).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")), max_docs)
-    packed = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    packed = df.select(F.struct(*[F.col(plain(c)).alias(c) for c in df.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
     kept = predict(packed, model, keep_text=True).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns])
 

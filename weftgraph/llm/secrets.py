@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import materialize
+from weftgraph.llm._shared import materialize, plain
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -164,5 +164,5 @@ def mask_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     put = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.when(s["own"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))).alias("out"))
     masked = F.aggregate("__weft_spans", start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    columns = [masked.alias(c) if c == text_col else F.col(c) for c in df.columns]
+    columns = [masked.alias(c) if c == text_col else F.col(plain(c)) for c in df.columns]
     return clean.unionByName(step.select(*columns))

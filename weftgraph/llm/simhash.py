@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import map_arrow, materialize, slices
+from weftgraph.llm._shared import map_arrow, materialize, plain, slices
 from weftgraph.llm.components import connected_components
 
 #: Fingerprints of one bucket that a task compares; buckets up to SMALL give pairs.
@@ -241,5 +241,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     first = simhash_components(df, id_col, text_col, words, radius).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__weft_id"), F.col(id_col).cast("long").alias("__weft_n")).groupBy("__weft_id").agg(F.count(F.lit(1)).alias("__weft_n"))
     kept = df.join(first, df[id_col] == first["__weft_id"], "inner")
-    once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[kept[c] for c in df.columns])
+    once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[F.col(plain(c)) for c in df.columns])
     return once.unionByName(df.filter(F.col(id_col).isNull()))

@@ -38,17 +38,20 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> bytes:
-    """A URN that holds the page's id."""
-    return b"<urn:uuid:" + str(uuid.UUID(int=page_id & (1 << 128) - 1)).encode() + b">"
+def record_id(page_id: int | None) -> bytes:
+    """A URN that holds the page's id, or that there is none."""
+    return b"<urn:uuid:" + str(uuid.UUID(int=0 if page_id is None else 1 << 64 | page_id & (1 << 64) - 1)).encode() + b">"
 
 
-def page_of(urn: bytes) -> int:
+def page_of(urn: bytes) -> int | None:
     n = uuid.UUID(urn[10:-1].decode()).int
-    return n - (1 << 128) if n >> 127 else n
+    if not n >> 64:
+        return None
+    n &= (1 << 64) - 1
+    return n - (1 << 64) if n >> 63 else n
 
 
-def build_record(kind: bytes, page_id: int, url: bytes, digest: str, size: int, payload: bytes, refers_to: int | None = None) -> bytes:
+def build_record(kind: bytes, page_id: int | None, url: bytes, digest: str, size: int, payload: bytes, refers_to: int | None = None) -> bytes:
     """One record; a revisit has no payload but names its full size."""
     head = [VERSION, b"WARC-Type: " + kind, b"WARC-Record-ID: " + record_id(page_id), b"WARC-Date: " + DATE, b"WARC-Target-URI: " + url.replace(b"\r", b"%0D").replace(b"\n", b"%0A"), b"WARC-Payload-Digest: sha1:" + digest.encode(), b"X-Payload-Length: %d" % size]
     if refers_to is not None:
@@ -145,7 +148,7 @@ def _archiver(folder: str) -> Callable:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write each partition of ``pages`` as one monolithic archive; returns what was written, a row a record (RECORD).
 
-    Null html is an empty payload, a null url an empty one. Ids must not be null: such rows raise an error, as a record needs one.
+    Null html is an empty payload, a null url an empty one.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc-whole")
@@ -158,8 +161,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Of ``records``, those that repeat a payload: archive, ordinal, refers_to.
 
-    Of equal payloads of at least ``min_bytes`` the smallest page id is the response (of repeated rows with that id, all are). Only
-    digests and ids are shuffled, and minima combine before the shuffle.
+    Of equal payloads of at least ``min_bytes`` the smallest page id is the response (of repeated rows with that id, all are). Rows
+    with a null id are responses, and no other row revisits them. Only digests and ids are shuffled, and minima combine before the shuffle.
     """
     large = records.filter(F.col("payload_bytes") >= min_bytes)
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
@@ -251,7 +254,8 @@ def read_archives(index: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write, normalise and read back ``pages``: a row a record, as READ.
 
-    An empty table gives no records. Repeated rows each get a record; those with the smallest id of their payload are responses.
+    An empty table gives no records. Repeated rows each get a record; those with the smallest id of their payload are responses, and
+    so are rows with a null id, which keep it.
     Empty payloads are payloads like any other. Other columns are not read.
     """
     records = write_archives(pages, id_col, url_col, html_col)
