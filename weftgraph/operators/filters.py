@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.predicates import P, all_of, eq, predicate, within
-from weftgraph.operators.frame import Base, Edge, Frame, Shape, Value, Vertex, fresh
+from weftgraph.operators.frame import Base, Edge, Frame, Shape, Vertex, fresh
 from weftgraph.sources.mapping import ID, LABEL
 
 HAS = frozenset("has hasLabel hasId".split())
@@ -326,9 +326,6 @@ class Filters(Base):
     def coin(self, frame: Frame, chance: float) -> Frame:
         return frame.filter(F.rand() < chance)
 
-    def present(self, frame: Frame, value: Value) -> Frame:
-        return frame.filter(F.col(value.column).isNotNull())
-
 
 def replace_values(step: Any) -> Any:
     """``has(key, traversal)`` as ``where`` on the key's value."""

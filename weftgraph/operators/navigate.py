@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
-
 from typing import Any
 
-
 from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import P, within
@@ -183,6 +181,3 @@ class Navigate(Base):
     def starter(self) -> Frame:
         """One traverser that stands for nothing; what starts from it leaves it out."""
         return self.inject((0,))
-
-
-
