@@ -12,7 +12,7 @@ from weftgraph.llm._shared import materialize
 from weftgraph.llm.langid import keep_identified
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.secrets import mask_secrets
-from weftgraph.llm.simhash import drop_near_duplicates
+from weftgraph.llm.simhash import drop_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group linked by a similarity of at least 0.8 over five-word shingles the document with the smallest id stays."""
+    return drop_similar(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from weftgraph.llm import lattice, simhash
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.lattice import decode_e8, embedding_components
-from weftgraph.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_components
+from weftgraph.llm.simhash import drop_near_duplicates, drop_similar, fingerprint_links, simhash_components
 
 
 def roots(n, links):
@@ -92,6 +92,33 @@ def test_fingerprint_of_long_text():
     assert int(simhash._fingerprints([simhash.shingle_hashes(text.encode(), 4)])[0]) == plain_fingerprint(text)
 
 
+def plain_shingles(text, k=5):
+    words = (text or "").split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200]))]
+        for _ in range(6):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(len(words) // 20)):
+                words[at] = f"x{g}{rng.randrange(9999)}"
+            texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[i : i + 80]) for i in range(0, 20, 4)] + ["one two", "one two", "three", None, " "]
+    sets = [plain_shingles(t) for t in texts]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    prints = [plain_fingerprint(t) for t in texts]
+    assert any(bin(prints[i] ^ prints[j]).count("1") > 4 for i, j in similar)
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (0, "another text of the same id"), (None, texts[0])], "doc_id long, text string")
+    got = sorted((r["doc_id"] for r in drop_similar(df).collect()), key=str)
+    assert got == sorted([*set(roots(len(texts), similar)), 0, None], key=str)
+    assert drop_similar(df.limit(0)).count() == 0
+
+
 def test_e8_decoding():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(300, 8)) * 3

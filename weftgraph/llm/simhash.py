@@ -7,6 +7,9 @@ value; what meets is verified. Over 64 bits and radius 4 a fingerprint emits 2 x
 A bucket of up to ``MOST`` fingerprints is linked in one task, without emitting its pairs: small ones give each linked pair once,
 larger ones a spanning forest. All fingerprints of a larger bucket go the whole way: they emit their full ball of half the radius,
 where all that meet in a value are within the radius of each other, so that a link of each to the smallest is enough.
+
+``drop_similar`` asks for a similarity instead of a radius. A ball wide enough for it is too large to emit, so bands of minimum
+hashes give the candidates that the balls miss, and the exact Jaccard similarity of the shingle sets decides on both.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from weftgraph.llm.components import connected_components
 #: Fingerprints of one bucket that a task compares; buckets up to SMALL give pairs.
 MOST, SMALL = 4096, 32
 SEED = 42
+#: The least similarity that links, as a fraction; and bands of minimum hashes: a pair at 0.8 shares none of them once in 300,000 times.
+SIMILAR = (4, 5)
+BANDS, BAND_ROWS = 24, 4
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -243,3 +249,137 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = df.join(first, df[id_col] == first["__weft_id"], "inner")
     once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[F.col(plain(c)) for c in df.columns])
     return once.unionByName(df.filter(F.col(id_col).isNull()))
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _node(grams: np.ndarray) -> int:
+    """A signed 64-bit hash of a shingle set: texts of equal sets are one vertex."""
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes(), SEED)).astype(np.int64))
+
+
+def minimum_bands(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys for each set, each a hash of BAND_ROWS of its minimum hashes and the band's number; an empty set counts as {0}."""
+    sets = [x if len(x) else np.zeros(1, np.uint64) for x in sets]
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    rng = np.random.default_rng(SEED)
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, np.uint64)
+        for _ in range(BAND_ROWS):
+            times, plus = rng.integers(0, 1 << 63, 2, np.uint64) * np.uint64(2) + np.uint64(1)
+            mixed = (flat ^ plus) * times
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum.reduceat(mixed * times, starts)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys.view(np.int64)
+
+
+def _set_signer(words: int) -> Callable:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                hashes = [shingle_hashes(t, words) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                sets = [np.unique(np.array(x, np.uint64)) for x in hashes]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(minimum_bands(sets).ravel()))
+                cols = [part.column("id"), part.column("hash"), pa.array([_node(x) for x in sets], pa.int64()), pa.array(_fingerprints(hashes).view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "hash", "node", "fp", "bands"])
+
+    return sign
+
+
+def _set_maker(words: int) -> Callable:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = [shingle_set(t, words).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
+
+    return make
+
+
+def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top, bottom = SIMILAR
+    for batch in batches:
+        for part in slices(batch, "ga", 1 << 22):
+            good = []
+            for x, y in zip(part.column("ga"), part.column("gb"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if len(a) > len(b):
+                    a, b = b, a
+                if len(a) * bottom < len(b) * top or not len(a):
+                    good.append(len(a) == len(b))
+                    continue
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                good.append(both * bottom >= (len(a) + len(b) - both) * top)
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of vertices those whose shingle sets are similar."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "similar-pairs")
+    held = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
+    return materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
+
+
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], radius: int = 4, most: int = MOST) -> DataFrame:
+    """(node, component) of the vertices of ``nodes`` (node, fp, bands) that are linked and not their component's smallest.
+
+    Candidates are what the balls link and all pairs that share a band. Only pairs of a candidate that are not yet connected are
+    compared: first what the balls give, then each bucket's members with a leader that differs from band to band, then all pairs
+    of a bucket that are still apart. ``sets_of`` gives (node, grams) for a table of nodes.
+    """
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "similar-prints")
+    by_balls = fingerprint_links(prints, radius, most).unionByName(nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    by_balls = materialize(by_balls, "similar-balls")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    members = materialize(keys.join(shared, "key").select("key", "node"), "similar-bands")
+    asked = members.select("node").union(by_balls.select("a")).union(by_balls.select("b")).distinct()
+    sets = materialize(sets_of(asked), "similar-sets")
+
+    links = _similar(by_balls, sets)
+    for leaders in (True, False):
+        groups = connected_components(links)
+        known = materialize(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "similar-members")
+        parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("first"))
+        chosen = parts.groupBy("key").agg(F.max(F.struct("n", "component", "first")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        apart = known.join(chosen.select("key", F.col("top.component").alias("top"), F.col("top.first.node").alias("leader")), "key")
+        apart = materialize(apart, "similar-apart")
+        if leaders:
+            pairs = apart.filter("component <> top").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        else:
+            # the others of a bucket with all of it: its largest part is not held against itself
+            others = apart.filter("component <> top").select("key", F.col("node").alias("a"), F.col("component").alias("of"))
+            pairs = others.join(apart.select("key", F.col("node").alias("b"), "component"), "key").filter("of <> component").select("a", "b")
+        links = materialize(links.union(_similar(pairs, sets)), "similar-all")
+    return connected_components(links)
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, most: int = MOST) -> DataFrame:
+    """``df`` with one row of each group of texts that shingles of ``words`` words link: Jaccard similarity of at least 0.8, exact.
+
+    Of each group the row with the smallest id stays, once. Texts of fewer words are one shingle, and texts without a word equal
+    each other. Rows with a null id are kept, as nothing tells them apart. Columns stay.
+    """
+    hash_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hash_.alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = materialize(map_arrow(rows, _set_signer(words), "id long, hash long, node long, fp long, bands array<long>"), "similar")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
+        texts = rows.join(wanted, ["id", "hash"]).select("node", "text")
+        return map_arrow(texts, _set_maker(words), "node long, grams binary").dropDuplicates(["node"])
+
+    groups = similar_components(nodes.select("node", "fp", "bands"), sets_of, radius, most)
+    first = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("row").alias("row"))
+    first = materialize(first.select(F.col("row.id").alias("__weft_id"), F.col("row.hash").alias("__weft_hash")), "similar-kept")
+    kept = df.join(first, (F.col(id_col).cast("long") == first["__weft_id"]) & (hash_ == first["__weft_hash"]))
+    once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id", "__weft_hash").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[F.col(plain(c)) for c in df.columns])
+    return once.unionByName(df.filter(F.col(id_col).isNull()))
