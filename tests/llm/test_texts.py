@@ -338,6 +338,21 @@ def test_host_boilerplate(spark):
     assert unique_runs([(1, "a b c d"), (0, "x y"), (1, "c d e")], {1}, 3) == "a\nc d e"
 
 
+def test_copied_pages_keep_their_text(spark):
+    bar = "share this page with your friends on all networks now"
+    own = [" ".join(f"p{i}w{k}" for k in range(20)) for i in range(9)]
+    passage = " ".join(f"quoted{k}" for k in range(30))
+    page = lambda body: f"<body><div><p>{bar}</p><p>{body}</p></div></body>"
+    texts = [own[0], own[0], own[0], *own[1:], f"{own[1]} {passage}", f"{own[2]} x {passage}"]
+    rows = [(i, f"http://h/{i}", page(t)) for i, t in enumerate(texts)] + [(0, "http://h/0", page(own[0]))]
+    rows += [(50, "http://one/1", page("alone")), (50, "http://one/1", page("alone")), (51, "http://one/2", page("alone"))]
+    got = {(r["page_id"], r["text"]) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {(i, own[0]) for i in range(3)} <= got
+    assert {(50, f"{bar}\nalone"), (51, f"{bar}\nalone")} <= got
+    assert all(passage in t for i, t in got if i in (len(texts) - 2, len(texts) - 1))
+    assert all(bar not in t for i, t in got if i < 50)
+
+
 # Hamming search
 
 
