@@ -318,6 +318,14 @@ def test_blocks():
     assert blocks_of('<main><h1>m</h1><article>a</article></main><div role="main">r</div><div class="x entry-content">c</div><div itemprop="articleBody">b</div>') == [(2, "m"), (3, "a"), (2, "r"), (2, "c"), (3, "b")]
 
 
+def test_values_are_not_names():
+    for say in ('style="overflow: hidden"', "title='a hidden gem'", 'data-x="no class=nav role=navigation here"', "alt=x/hidden"):
+        assert blocks_of(f"<div {say}><article>in</article></div>") == [(3, "in")]
+        assert blocks_of(f"<article {say}>on</article>") == [(3, "on")]
+    for say in ("hidden", 'title="x"hidden', "HIDDEN=''", 'style="a: b" aria-hidden="true"', "data-x='y' class='nav'"):
+        assert blocks_of(f"<div {say}><article>in</article></div>") == [(0, "in")]
+
+
 def test_host_boilerplate(spark):
     bar = "share this page with your friends on all networks now"
     page = lambda body: f"<html><body><div><p>{bar}</p><p>{body}</p></div></body></html>"
