@@ -2,7 +2,8 @@
 
 A candidate is a match of one of three fixed patterns. The hash of its secret value is counted over the corpus: in how many
 distinct repositories and for how many distinct owners it occurs. A value that many owners hold is a copied example; a value of
-few owners that looks random is reported once more, as a span of kind ``live`` over the value alone.
+few owners that looks random is reported once more, as a span of kind ``live`` over the value alone. Owners alone decide:
+the count of repositories is in no condition and no column.
 """
 
 from __future__ import annotations
