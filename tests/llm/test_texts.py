@@ -380,6 +380,19 @@ def test_top_k_equals_brute_force(spark, n, k):
     assert got == sorted(want)
 
 
+def test_top_k_with_repeated_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.getrandbits(62)) for i in range(60)]
+    rows += [rows[0]] * 12 + [rows[50]] * 2 + [rows[7]] * 3 + [(-1, rows[50][1])] * 2 + [(0, rng.getrandbits(62)) for _ in range(3)] + [(9, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    got = sorted(map(tuple, hamming.top_k(df, "code", "vec_id", F.col("vec_id") % 50 == 0, 10).collect()))
+    want = []
+    for q in (0, 50):
+        near = sorted((bin(c ^ d).count("1"), j) for c in {c for i, c in rows if i == q} for j, d in rows if j != q)[:10]
+        want += [(q, r + 1, j, d) for r, (d, j) in enumerate(near)]
+    assert got == want
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, code long")
     assert hamming.top_k(df, "code", "vec_id", F.col("vec_id") % 50 == 0).count() == 0

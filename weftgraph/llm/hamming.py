@@ -77,15 +77,18 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
 
     Exact; of equal distances the smaller id comes first. ``is_query`` is a condition on the columns of ``df``. Rows with a null id
     or code are neither found nor asked. Equal codes are one vertex of the search, with the ``k`` + 1 smallest of its ids, found by
-    salt before they meet. Repeated rows with one id are found repeatedly, but a query never finds its own id. Fewer rows than ``k``
-    give shorter lists; an empty table gives none.
+    salt before they meet. Repeated rows with one id are found repeatedly, but a query never finds its own id, and repeated query rows
+    ask once. Fewer rows than ``k`` give shorter lists; an empty table gives none.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).cast("long").alias("code"), is_query.alias("asks")).filter("id is not null and code is not null")
-    rows = materialize(rows, "codes")
+    # Equal rows are one with a count, so that no copies, the query's own neither, push others out; ``k`` of them fill a list.
+    rows = materialize(rows.groupBy("id", "code").agg(F.max("asks").alias("asks"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times")), "codes")
+    # The query's own id is left out later: so many codes at most have it.
+    owned = rows.filter("asks").select("id").distinct()
+    own = rows.join(owned, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     salted = Window.partitionBy("code", "salt").orderBy("id")
     some = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).withColumn("nth", F.row_number().over(salted)).filter(F.col("nth") <= k + 1)
-    # Copies of the query's own row share its id and must not push others out, so they count once.
-    members = materialize(some.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("nth") <= k + 1).select("code", "id", "nth"), "members")
+    members = materialize(some.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("nth") <= k + 1).select("code", "id", "times"), "members")
     codes = materialize(members.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "distinct")
     n_codes = codes.count()
     segments = segments_for(n_codes)
@@ -101,7 +104,7 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
         lookups = sum(math.comb(width, i) for (_, width), r in zip(segments, radii, strict=True) for i in range(r + 1))
         near = within_scan(active, codes, covered) if lookups > n_codes else within_radii(active, index, segments, radii, covered)
         pairs = materialize(near, "pairs")
-        done = active.select("q") if last else pairs.groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= k + 1).select("q")
+        done = active.select("q") if last else pairs.groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= k + own).select("q")
         results.append(pairs.join(done, "q", "left_semi"))
         if last:
             break
@@ -110,12 +113,13 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
             break
         covered += max(1, m // 2)
     found = reduce(DataFrame.union, results)
-    ranked = found.join(members, F.col("c") == F.col("code")).select("q", "dist", "id", "nth")
-    lists = ranked.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).filter(F.col("place") <= k + 1).drop("nth")
+    ranked = found.join(members, F.col("c") == F.col("code")).select("q", "dist", "id", "times")
+    lists = ranked.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).filter(F.col("place") <= k + own)
     asked = rows.filter("asks").select(F.col("id").alias("query_id"), F.col("code"))
-    own = asked.join(lists, F.col("code") == F.col("q")).filter("id <> query_id")
-    own = own.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, k).alias("found"))
-    out = own.select("query_id", F.posexplode("found").alias("place", "f"))
+    others = asked.join(lists, F.col("code") == F.col("q")).filter("id <> query_id")
+    others = others.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("dist", "id", "times"))).alias("each"))
+    others = others.select("query_id", F.slice(F.flatten(F.transform("each", lambda f: F.array_repeat(f, f["times"]))), 1, k).alias("found"))
+    out = others.select("query_id", F.posexplode("found").alias("place", "f"))
     return out.select("query_id", (F.col("place") + 1).alias("rank"), F.col("f.id").alias("neighbor_id"), F.col("f.dist").alias("distance"))
 
 
