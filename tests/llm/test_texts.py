@@ -153,6 +153,17 @@ def test_languages(spark):
 # n-gram scores
 
 
+def test_a_language_of_few_long_texts_is_learnt(spark):
+    words = {"aa": "ga bu zo meu ", "bb": "the old river runs "}
+    rows = [(i, words["aa"] * 4000, "aa") for i in range(3)] + [(10 + i, words["bb"] * 3, "bb") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    for salt in range(4):
+        moved = df.withColumn("id", F.col("id") + 1000 * salt)
+        model = langid.fit(moved, max_chars=5000)
+        got = langid.predict(spark.createDataFrame([(1, words["aa"] * 5)], "id long, text string"), model).first()
+        assert got["lang_pred"] == "aa" and got["score"] > 0.9
+
+
 def plain_scores(rows, order=3, a=0.4, least=2):
     counts, total, docs = Counter(), 0, [(t or "").lower().split() for _, t in rows]
     for w in docs:

@@ -75,22 +75,30 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def fit(rows: DataFrame, max_docs: int = 1000, max_chars: int = 4_000_000) -> PpmModel:
+def fit(rows: DataFrame, max_docs: int = 1000, max_chars: int = 4_000_000, least: int = 20) -> PpmModel:
     """Count the trees on ``rows`` (id, text, lang) and compile them.
 
     Of each language about ``max_docs`` documents are taken, fewer if they are long (about ``max_chars`` characters): those whose
-    hashed id is smallest, up to a bound that the language's size gives. That sample is the only bound here; it keeps the trees the
+    hashed id is smallest, up to a bound that the language's size gives. Where that would be fewer than ``least``, the ``least``
+    documents of smallest hash are taken, each up to its share of the characters. That sample is the only bound here; it keeps the trees the
     same size at any input. What the driver gets are the distinct grams of that sample.
     """
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     stats = {r["lang"]: r for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     if not stats:
         return compile_model({})
-    share = F.lit(0.0)
+    share, few = F.lit(0.0), []
     for lang, r in sorted(stats.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / r["n"], max_chars / max(1, r["chars"])))).otherwise(share)
+        part = min(1.0, max_docs / r["n"], max_chars / max(1, r["chars"]))
+        if part < 1 and part * r["n"] < least:
+            few.append((lang, max_chars // min(least, r["n"])))
+            continue
+        share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
     chance = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    grams = map_arrow(known.filter(chance < share).select("lang", "text"), _counter, "lang string, gram long, n long")
+    taken = known.filter(chance < share).select("lang", "text")
+    for lang, most in few:
+        taken = taken.union(known.filter(F.col("lang") == lang).orderBy(chance, "id").limit(least).select("lang", F.substring("text", 1, most)))
+    grams = map_arrow(taken, _counter, "lang string, gram long, n long")
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(table.column("lang").to_pylist(), object)
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
