@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,14 +155,14 @@ def test_languages(spark):
 
 
 def test_a_language_of_few_long_texts_is_learnt(spark):
-    words = {"aa": "ga bu zo meu ", "bb": "the old river runs "}
+    words = {"aa": "snur revir dlo eht ", "bb": "the old river runs "}
     rows = [(i, words["aa"] * 4000, "aa") for i in range(3)] + [(10 + i, words["bb"] * 3, "bb") for i in range(40)]
     df = spark.createDataFrame(rows, "id long, text string, lang string")
     for salt in range(4):
         moved = df.withColumn("id", F.col("id") + 1000 * salt)
         model = langid.fit(moved, max_chars=5000)
-        got = langid.predict(spark.createDataFrame([(1, words["aa"] * 5)], "id long, text string"), model).first()
-        assert got["lang_pred"] == "aa" and got["score"] > 0.9
+        bits = langid.code_lengths(model, pa.array([words["aa"] * 5]))[0]
+        assert bits[model.langs.index("aa")] < 4 * len(words["aa"] * 5)  # 8 a byte if nothing was learnt
 
 
 def plain_scores(rows, order=3, a=0.4, least=2):
