@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import materialize
+from weftgraph.llm._shared import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,4 +26,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialize(edges.join(least, "v").select("u", F.col("m").alias("v")).filter("u > v").distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.toDF("u", "v")).distinct(), "edges")
+        old, edges = edges, materialize(small.union(least.toDF("u", "v")).distinct(), "edges")
+        discard(old, large)
