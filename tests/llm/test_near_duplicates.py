@@ -44,8 +44,8 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_links_equal_brute_force(spark, most):
+@pytest.mark.parametrize(("chunk", "bucket"), [(2048, 4_000_000), (7, 5000), (1000, 100)])
+def test_links_equal_brute_force(spark, chunk, bucket):
     rng = random.Random(6)
     centres = [rng.getrandbits(64) for _ in range(15)]
     prints = {c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (1 << 64) - 1 for c in centres for _ in range(30)}
@@ -53,18 +53,35 @@ def test_links_equal_brute_force(spark, most):
     arr = np.array(prints, np.uint64)
     want = roots(len(prints), [(i, int(j)) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(arr ^ arr[i]) <= 4) if i < j])
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "fp long, rep long")
-    links = [(r["a"], r["b"]) for r in fingerprint_links(df, 4, most=most).collect()]
-    assert all(bin(prints[a] ^ prints[b]).count("1") <= 4 or most < 4096 for a, b in links)
+    links = [(r["a"], r["b"]) for r in fingerprint_links(df, 4, chunk, bucket).collect()]
+    assert all(bin(prints[a] ^ prints[b]).count("1") <= 4 for a, b in links)
+    assert len(links) == len(set(links))
     assert roots(len(prints), links) == want
+    assert fingerprint_links(df.limit(0)).count() == 0
 
 
-def test_small_buckets_give_each_pair_once(spark):
+def test_every_pair_within_the_radius_meets():
+    """Each value of the whole ball is emitted, and every pair within the radius has one in common."""
     rng = random.Random(7)
-    base = rng.getrandbits(64)
-    prints = sorted({base ^ (1 << i) for i in range(0, 64, 5)} | {base})
-    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "fp long, rep long")
-    links = [tuple(sorted((r["a"], r["b"]))) for r in fingerprint_links(df).collect()]
-    assert len(links) == len(set(links)) == len(prints) * (len(prints) - 1) // 2
+    flips = simhash.masks(64, 2)
+    assert len(flips) == len(set(flips.tolist())) == 1 + 64 + 64 * 63 // 2
+    for d in range(5):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), d))
+        values, hashes = simhash.ball_hashes(np.array([a, b], np.uint64), flips, 37)
+        assert set(values[: len(flips)].tolist()) & set(values[len(flips) :].tolist())
+        assert {int(h) for h in hashes[: len(flips)]} & {int(h) for h in hashes[len(flips) :]} and int(hashes.max()) < 1 << 37
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    long = [" ".join(f"{k}w{i}" for i in range(50)) for k in "abc"]
+    rows = [(1, long[0], "x"), (1, long[1], "x"), (1, long[0], "y"), (2, long[1] + " ", "x"), (3, long[2], "x"), (None, long[2], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    for drop in (drop_near_duplicates, drop_similar):
+        kept = drop(df)
+        assert kept.columns == df.columns
+        got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+        assert got == sorted([("1", long[0]), ("1", long[1]), ("3", long[2]), ("None", long[2])]), drop
 
 
 def test_documents(spark):

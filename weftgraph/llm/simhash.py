@@ -1,12 +1,12 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most ``radius`` bits differ in at most half of that in one of their two halves. So each half of
-each distinct fingerprint emits all values within half of *that* distance, and two fingerprints that link meet in at least one
-value; what meets is verified. Over 64 bits and radius 4 a fingerprint emits 2 x 33 values instead of the 2,081 of the whole ball.
+Every distinct fingerprint emits its ball: all values within half the radius, 2,081 for 64 bits and radius 4. Two fingerprints within
+the radius have a value in common, and two that have one are within the radius of each other. So the values are shuffled, and a
+value that several fingerprints emit links all of them to the smallest; the distance is verified all the same.
 
-A bucket of up to ``MOST`` fingerprints is linked in one task, without emitting its pairs: small ones give each linked pair once,
-larger ones a spanning forest. All fingerprints of a larger bucket go the whole way: they emit their full ball of half the radius,
-where all that meet in a value are within the radius of each other, so that a link of each to the smallest is enough.
+Most values are emitted once, so what is shuffled first is only a hash of each, cut to the bits that keep chance collisions few,
+and packed as sorted numbers: some 2 bytes a value. Each bucket answers which places of a chunk met another value, and only those
+values travel whole, with their fingerprints. Costs follow the number of fingerprints; no key gets more than its ball's size.
 
 ``drop_similar`` asks for a similarity instead of a radius. A ball wide enough for it is too large to emit, so bands of minimum
 hashes give the candidates that the balls miss, and the exact Jaccard similarity of the shingle sets decides on both.
@@ -21,14 +21,14 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import map_arrow, materialize, plain, slices
+from weftgraph.llm._shared import Ranges, discard, hot_join, map_arrow, materialize, plain, ship, slices, trim
 from weftgraph.llm.components import connected_components
 
-#: Fingerprints of one bucket that a task compares; buckets up to SMALL give pairs.
-MOST, SMALL = 4096, 32
+#: Fingerprints that a chunk holds, and values that a bucket holds, about.
+CHUNK, BUCKET = 2048, 4_000_000
 SEED = 42
 #: The least similarity that links, as a fraction; and bands of minimum hashes: a pair at 0.8 shares none of them once in 300,000 times.
 SIMILAR = (4, 5)
@@ -74,7 +74,8 @@ def _signer(words: int) -> Callable:
             for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 prints = _fingerprints([shingle_hashes(t, words) for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(prints.view(np.int64))], names=[*kept, "fp"])
 
     return sign
 
@@ -90,142 +91,142 @@ def masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)], np.uint64)
 
 
-def _ball(halves: bool, radius: int) -> Callable:
-    flips = masks(32 if halves else 64, radius)
-    low = np.uint64(0xFFFFFFFF)
+def _chunker(size: int) -> Callable:
+    """Rows of up to ``size`` fingerprints with their ``rep``, as bytes."""
 
+    def row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        fps, reps = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (fps, reps)], names=["fps", "reps"])
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, size - n))
+                at, n = at + held[-1].num_rows, n + held[-1].num_rows
+                if n == size:
+                    yield row(held)
+                    held, n = [], 0
+        if n:
+            yield row(held)
+
+    return chunk
+
+
+def ball_hashes(fps: np.ndarray, flips: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each fingerprint's ball, one fingerprint after the other, and their hashes of ``bits`` bits."""
+    values = (fps[:, None] ^ flips).ravel()
+    x = values ^ (values >> np.uint64(32))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x >>= np.uint64(64 - bits)
+    return values, x
+
+
+def _emitter(flips: np.ndarray, ranges: Ranges) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, (1 << 18) // len(flips))
         for batch in batches:
-            prints, reps = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for k in range(0, len(prints), step):
-                fp, rep = prints[k : k + step].view(np.uint64), reps[k : k + step]
-                if halves:
-                    # the upper half's values are told apart by a bit that no value has
-                    key = np.concatenate([(fp & low)[:, None] ^ flips, ((fp >> np.uint64(32))[:, None] ^ flips) | np.uint64(1 << 32)], axis=1)
-                else:
-                    key = fp[:, None] ^ flips
-                n = key.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), n)), pa.array(np.repeat(rep, n))], names=["key", "fp", "rep"])
+            for chunk, fps in zip(batch.column("chunk").to_pylist(), batch.column("fps").to_pylist(), strict=True):
+                hashes = ball_hashes(np.frombuffer(fps, np.uint64), flips, ranges.bits)[1]
+                hashes.sort()
+                buckets, cuts = ranges.cuts(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.full(len(buckets), chunk, np.int64)), ranges.split(hashes, buckets, cuts)], names=["bucket", "chunk", "hashes"])
 
     return emit
 
 
-def _once(key: np.ndarray, x: np.ndarray, y: np.ndarray, part_radius: int) -> np.ndarray:
-    """Whether ``key`` is the one value, of all in which x and y meet, at which their link is given."""
-    low, upper = np.uint64(0xFFFFFFFF), key >> np.uint64(32) > 0
-    value = key & low
-    shift = np.where(upper, np.uint64(32), np.uint64(0))
-    a, b = (x >> shift) & low, (y >> shift) & low
-    diff = a ^ b
-    n = np.bitwise_count(diff)
-    one = diff & (~diff + np.uint64(1))
-    first = np.where(n == 0, a, np.where(n == 1, np.minimum(a, b), np.minimum(a ^ one, b ^ one)))
-    in_lower = np.bitwise_count((x ^ y) & low) <= 2 * part_radius
-    return (value == first) & ~(upper & in_lower)
-
-
-def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``prints``, as index pairs; never holds more than a row of comparisons."""
-    links, rest = [], np.arange(len(prints))
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[x]) <= radius
-            found = rest[near]
-            links += [(int(x), int(y)) for y in found]
-            queue.extend(found)
-            rest = rest[~near]
+def _meeter(ranges: Ranges) -> Callable:
+    def meet(table: pa.Table) -> pa.Table:
+        """Of one bucket: at which places of each chunk's hashes lies one that occurs again."""
+        hashes, sizes = ranges.merge(table.column("hashes").to_pylist())
+        ordered = np.sort(hashes)
+        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        del ordered
+        if len(again):
+            place = np.searchsorted(again, hashes)
+            place[place == len(again)] = 0
+            met = np.flatnonzero(again[place] == hashes)
+        else:
+            met = np.empty(0, np.int64)
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(met, np.concatenate([[0], ends]))
+        rows = np.flatnonzero(np.diff(cuts))
+        places = [(met[cuts[r] : cuts[r + 1]] - (ends[r] - sizes[r])).astype("<u4").tobytes() for r in rows]
+        trim()
+        return pa.table([table.column("chunk").take(pa.array(rows)), table.column("bucket").take(pa.array(rows)), pa.array(places, pa.binary())], names=["chunk", "bucket", "places"])
+
+    return meet
+
+
+def _returner(flips: np.ndarray, ranges: Ranges) -> Callable:
+    kinds = ("key", "fp", "rep")
+
+    def give(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        """The values of one chunk whose hashes met others."""
+        if not told.num_rows or not chunk.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=list(kinds))
+        fps, reps = (np.frombuffer(chunk.column(k)[0].as_py(), t) for k, t in (("fps", np.uint64), ("reps", np.int64)))
+        values, hashes = ball_hashes(fps, flips, ranges.bits)
+        ordered = np.sort(hashes)
+        buckets, cuts = ranges.cuts(ordered)
+        start = dict(zip(buckets.tolist(), cuts.tolist(), strict=False))
+        found = [ordered[start[b] + np.frombuffer(p, "<u4").astype(np.int64)] for b, p in zip(told.column("bucket").to_pylist(), told.column("places").to_pylist(), strict=True)]
+        met = np.unique(np.concatenate(found))
+        del ordered
+        place = np.searchsorted(met, hashes)
+        place[place == len(met)] = 0
+        at = np.flatnonzero(met[place] == hashes)
+        of = at // len(flips)
+        trim()
+        return pa.table([pa.array(values[at].view(np.int64)), pa.array(fps[of].view(np.int64)), pa.array(reps[of])], names=list(kinds))
+
+    return give
+
+
+def fingerprint_links(reps: DataFrame, radius: int = 4, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between ``rep`` values that connect all rows of ``reps`` (fp, rep) within ``radius`` differing bits, and no others.
+
+    ``fp`` must be distinct, ``rep`` a long. ``radius`` must be even. Of the pairs that meet in a value, those with its smallest are given.
+    """
+    if radius % 2:
+        raise ValueError("radius must be even")
+    spark = reps.sparkSession
+    ship(spark)
+    flips = masks(64, radius // 2)
+    chunks = map_arrow(reps.select("fp", "rep"), _chunker(chunk), "fps binary, reps binary").withColumn("chunk", F.monotonically_increasing_id())
+    chunks = materialize(chunks, "balls")
+    counted = chunks.agg(F.count(F.lit(1)), F.sum(F.length("fps"))).first()
+    n = max(1, (counted[1] or 0) // 8)
+    # as many bits as leave some four chance collisions a fingerprint
+    bits = min(63, max(8, (len(flips) ** 2 * n // 8).bit_length()))
+    buckets = max(1, -(-len(flips) * n // bucket))
+    ranges = Ranges(bits, buckets, len(flips) * n / max(1, counted[0]) / buckets)
+    tasks = max(1, -(-counted[0] // 4))
+    dealt = chunks.repartition(tasks, "chunk")
+    asked = map_arrow(dealt.select("chunk", "fps"), _emitter(flips, ranges), "bucket long, chunk long, hashes binary")
+    told = asked.groupBy("bucket").applyInArrow(_meeter(ranges), "chunk long, bucket long, places binary")
+    told = materialize(told, "balls-met")
+    met = dealt.groupBy("chunk").cogroup(told.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_returner(flips, ranges), "key long, fp long, rep long")
+    # no value has more fingerprints than a ball has values, so a key's rows are few
+    first = F.min(F.struct("rep", "fp")).over(Window.partitionBy("key"))
+    pairs = met.withColumn("first", first).filter((F.col("rep") > F.col("first.rep")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius))
+    links = materialize(pairs.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "simhash-links")
+    discard(chunks, told)
     return links
 
 
-def _linker(radius: int, most: int, small: int) -> Callable:
-    half = radius // 4
-
-    def out(a: np.ndarray, b: np.ndarray, over: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
-
-    def whole(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Complete buckets, sorted by key."""
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-        sizes = ends - starts
-        few = np.repeat(sizes <= small, sizes)
-        for shift in range(1, min(small, int(sizes.max(initial=1)))):
-            i = np.flatnonzero((key[shift:] == key[:-shift]) & few[shift:])
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= radius]
-            i = i[_once(key[i].view(np.uint64), fp[i], fp[i + shift], half)]
-            if len(i):
-                yield out(rep[i], rep[i + shift], False)
-        for s, e in zip(starts[sizes > small], ends[sizes > small], strict=True):
-            if links := spanning_links(fp[s:e], radius):
-                x, y = np.array(links).T + s
-                yield out(rep[x], rep[y], False)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        large = None  # the key of a bucket over ``most``
-        for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            new[1] = new[1].view(np.uint64)
-            if large is not None:
-                n = int(np.searchsorted(new[0], large, side="right"))
-                if n:
-                    yield out(new[1][:n].view(np.int64), new[2][:n], True)
-                    new = [c[n:] for c in new]
-                if not len(new[0]):
-                    continue
-                large = None
-            rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(rows[0]):
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            # buckets over the bound inside the batch
-            done, held = [c[:last] for c in rows], [c[last:] for c in rows]
-            yield from complete(*done)
-            if len(held[0]) > most:
-                yield out(held[1].view(np.int64), held[2], True)
-                large, held = held[0][0], None
-        if held is not None:
-            yield from complete(*held)
-
-    def complete(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        sizes = np.diff(np.concatenate([[0], cuts, [len(key)]]))
-        over = np.repeat(sizes > most, sizes)
-        if over.any():
-            yield out(fp[over].view(np.int64), rep[over], True)
-            key, fp, rep = key[~over], fp[~over], rep[~over]
-        if len(key):
-            yield from whole(key, fp, rep)
-
-    return link
-
-
-def fingerprint_links(reps: DataFrame, radius: int = 4, most: int = MOST, small: int = SMALL) -> DataFrame:
-    """Links (a, b) between ``rep`` values that connect all rows of ``reps`` (fp, rep) within ``radius`` differing bits, and no others.
+def _groups(signed: DataFrame, radius: int) -> DataFrame:
+    """(fp, group, n) of the fingerprints in ``signed`` (fp, ..): the smallest fingerprint linked with each, and how many rows each has.
 
-    ``fp`` must be distinct, ``rep`` a long. ``radius`` must be a multiple of 4. Pairs already connected by others may be left out.
-    """
-    if radius % 4:
-        raise ValueError("radius must be a multiple of 4")
-    met = map_arrow(reps.select("fp", "rep"), _ball(True, radius // 4), "key long, fp long, rep long")
-    found = materialize(map_arrow(met.repartition("key").sortWithinPartitions("key"), _linker(radius, most, small), "a long, b long, over boolean"), "simhash-links")
-    links = found.filter("not over").select("a", "b")
-    large = found.filter("over")
-    if large.isEmpty():
-        return links
-    ball = map_arrow(large.select(F.col("a").alias("fp"), F.col("b").alias("rep")).distinct(), _ball(False, radius // 2), "key long, fp long, rep long").select("key", "rep")
-    first = ball.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").drop("last")
-    return links.union(ball.join(first, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct())
-
-
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, most: int = MOST) -> DataFrame:
+    The graph is one of fingerprints, not of ids, so that an id of two texts joins nothing."""
+    prints = materialize(signed.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    groups = connected_components(fingerprint_links(prints.select("fp", F.col("fp").alias("rep")), radius))
+    return prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"), "n")
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The near-duplicate group of every row: id, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable).
 
     Equal fingerprints are one vertex, whose id is the smallest of its rows, so copies cost nothing after that. Null and empty
@@ -233,22 +234,42 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the others of its fingerprint, or null if there are none. An empty table gives no rows; other columns are not read.
     """
     signed = materialize(fingerprints(df, id_col, text_col, words), "simhash")
-    reps = materialize(signed.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-distinct")
-    groups = connected_components(fingerprint_links(reps.filter("rep is not null"), radius, most))
-    by_print = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(by_print, "fp")
+    groups = materialize(_groups(signed, radius), "simhash-groups")
+    # by fingerprint first: a group may hold a third of all rows
+    least = signed.groupBy("fp").agg(F.min("id").alias("id")).join(groups, "fp").groupBy("group").agg(F.min("id").alias("component_id"))
+    by_print = materialize(groups.join(least, "group").select("fp", "component_id"), "simhash-prints")
+    out = hot_join(signed, by_print, "fp", groups.select("fp", "n"))
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _only(df: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
+    """One row of ``df`` for each (id, hash) of ``chosen``, and all rows with a null id. Of rows that agree in both, and so in id and
+    text, the one whose other columns have the smallest hash."""
+    maps = [f.name for f in df.schema if "map<" in f.dataType.simpleString()]
+    order = [F.xxhash64(F.lit(0), *[F.col(plain(c)) for c in df.columns if c not in (*maps, text_col)]), *[F.to_json(F.struct(F.col(plain(c)))) for c in maps]]
+    row = F.struct(*[F.col(plain(c)) for c in df.columns])
+    named = df.select(F.col(plain(id_col)).cast("long").alias("__weft_id"), _text_hash(plain(text_col)).alias("__weft_hash"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__weft_order"), row.alias("__weft_row")).filter("__weft_id is not null")
+    kept = named.join(chosen.toDF("__weft_id", "__weft_hash"), ["__weft_id", "__weft_hash"], "left_semi")
+    once = kept.groupBy("__weft_id", "__weft_hash").agg(F.min_by("__weft_row", "__weft_order").alias("__weft_row"))
+    return once.select("__weft_row.*").unionByName(df.filter(F.col(plain(id_col)).isNull()))
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """``df`` with one row of each near-duplicate group: that with the smallest id. Of repeated rows with that id one stays.
+    """``df`` with one row of each near-duplicate group: that with the smallest id.
 
-    Rows with a null id are kept, as nothing tells them apart. Columns stay.
+    Where the id repeats, each of its rows is in the group of its own text; if several in one group have the smallest id, the one
+    whose text has the smallest hash stays. Rows with a null id are kept, as nothing tells them apart. Columns stay.
     """
-    first = simhash_components(df, id_col, text_col, words, radius).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__weft_id"), F.col(id_col).cast("long").alias("__weft_n")).groupBy("__weft_id").agg(F.count(F.lit(1)).alias("__weft_n"))
-    kept = df.join(first, df[id_col] == first["__weft_id"], "inner")
-    once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[F.col(plain(c)) for c in df.columns])
-    return once.unionByName(df.filter(F.col(id_col).isNull()))
+    rows = df.filter(F.col(plain(id_col)).isNotNull()).select(F.col(plain(id_col)).cast("long").alias("id"), _text_hash(plain(text_col)).alias("hash"), F.coalesce(F.col(plain(text_col)), F.lit("")).alias("text"))
+    signed = materialize(map_arrow(rows, _signer(words), "id long, hash long, fp long"), "simhash")
+    groups = _groups(signed, radius)
+    firsts = signed.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("row"))
+    chosen = firsts.join(groups, "fp").groupBy("group").agg(F.min("row").alias("row"))
+    return _only(df, id_col, text_col, chosen.select("row.id", "row.hash"))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -327,7 +348,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
 
 
-def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], radius: int = 4, most: int = MOST) -> DataFrame:
+def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], radius: int = 4) -> DataFrame:
     """(node, component) of the vertices of ``nodes`` (node, fp, bands) that are linked and not their component's smallest.
 
     Candidates are what the balls link and all pairs that share a band. Only pairs of a candidate that are not yet connected are
@@ -335,7 +356,7 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     of a bucket that are still apart. ``sets_of`` gives (node, grams) for a table of nodes.
     """
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "similar-prints")
-    by_balls = fingerprint_links(prints, radius, most).unionByName(nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    by_balls = fingerprint_links(prints, radius).unionByName(nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     by_balls = materialize(by_balls, "similar-balls")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
@@ -361,25 +382,24 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     return connected_components(links)
 
 
-def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, most: int = MOST) -> DataFrame:
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """``df`` with one row of each group of texts that shingles of ``words`` words link: Jaccard similarity of at least 0.8, exact.
 
     Of each group the row with the smallest id stays, once. Texts of fewer words are one shingle, and texts without a word equal
     each other. Rows with a null id are kept, as nothing tells them apart. Columns stay.
     """
-    hash_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hash_.alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.filter(F.col(plain(id_col)).isNotNull()).select(F.col(plain(id_col)).cast("long").alias("id"), _text_hash(plain(text_col)).alias("hash"), F.coalesce(F.col(plain(text_col)), F.lit("")).alias("text"))
     signed = materialize(map_arrow(rows, _set_signer(words), "id long, hash long, node long, fp long, bands array<long>"), "similar")
     nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
+    discard(signed)
 
     def sets_of(asked: DataFrame) -> DataFrame:
         wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
         texts = rows.join(wanted, ["id", "hash"]).select("node", "text")
         return map_arrow(texts, _set_maker(words), "node long, grams binary").dropDuplicates(["node"])
 
-    groups = similar_components(nodes.select("node", "fp", "bands"), sets_of, radius, most)
+    groups = similar_components(nodes.select("node", "fp", "bands"), sets_of, radius)
     first = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("row").alias("row"))
-    first = materialize(first.select(F.col("row.id").alias("__weft_id"), F.col("row.hash").alias("__weft_hash")), "similar-kept")
-    kept = df.join(first, (F.col(id_col).cast("long") == first["__weft_id"]) & (hash_ == first["__weft_hash"]))
-    once = kept.withColumn("__weft_k", F.row_number().over(Window.partitionBy("__weft_id", "__weft_hash").orderBy("__weft_id"))).filter("__weft_k = 1").select(*[F.col(plain(c)) for c in df.columns])
-    return once.unionByName(df.filter(F.col(id_col).isNull()))
+    first = materialize(first.select(F.col("row.id").alias("id"), F.col("row.hash").alias("hash")), "similar-kept")
+    discard(nodes)
+    return _only(df, id_col, text_col, first)
