@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import hamming, langid, ngrams, pieces, warc
+from weftgraph.llm import _shared, hamming, langid, ngrams, pieces, warc
 from weftgraph.llm.extract import blocks_of, extract_text, unique_runs
 from weftgraph.llm.secrets import mask_secrets, scan_secrets
 
@@ -184,9 +184,10 @@ def plain_scores(rows, order=3, a=0.4, least=2):
     return out
 
 
-@pytest.mark.parametrize(("order", "bucket"), [(3, 1_000_000), (3, 40), (2, 100), (1, 1000)])
-def test_backoff_equals_brute_force(spark, monkeypatch, order, bucket):
+@pytest.mark.parametrize(("order", "bucket", "few"), [(3, 1_000_000, 512), (3, 40, 512), (3, 40, 0), (2, 100, 0), (1, 1000, 512)])
+def test_backoff_equals_brute_force(spark, monkeypatch, order, bucket, few):
     monkeypatch.setattr(ngrams, "BUCKET", bucket)
+    monkeypatch.setattr(_shared.Ranges, "FEW", few)
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("a b c d e f Ü 日".split()) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, ""), (102, "one"), (103, "a b c " * 9000), (103, "a b c"), (None, "a b")]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, chunk int")
@@ -201,8 +202,36 @@ def test_backoff_equals_brute_force(spark, monkeypatch, order, bucket):
 def test_packed_numbers():
     rng = np.random.default_rng(2)
     for values in (np.empty(0, np.uint64), rng.integers(0, 1 << 63, 500).astype(np.uint64)):
-        assert (ngrams.unpack(ngrams.pack(values)) == values).all()
-        assert (ngrams.unpack_sorted(ngrams.pack_sorted(np.sort(values))) == np.sort(values)).all()
+        assert (_shared.unpack(_shared.pack(values)) == values).all()
+        assert (_shared.unpack_sorted(_shared.pack_sorted(np.sort(values))) == np.sort(values)).all()
+
+
+@pytest.mark.parametrize("each", [1, 1000])
+@pytest.mark.parametrize(("bits", "buckets"), [(8, 1), (12, 5), (45, 1000), (63, 3)])
+def test_ranges(bits, buckets, each):
+    rng = np.random.default_rng(bits)
+    ranges = _shared.Ranges(bits, buckets, each)
+    for n in (0, 1, 2000):
+        values = np.sort(rng.integers(0, 1 << bits, n, np.uint64))
+        own, cuts = ranges.cuts(values)
+        assert (np.diff(own) > 0).all() and len(cuts) == len(own) + 1
+        rows = ranges.split(values, own, cuts).to_pylist()
+        back = [ranges.merge([r])[0] + np.uint64(int(b) * ranges.width) for b, r in zip(own, rows, strict=True)]
+        assert (np.concatenate([np.empty(0, np.uint64), *back]) == values).all()
+        assert ranges.merge(rows)[1].tolist() == np.diff(cuts).tolist()
+        few = values % np.uint64(1 << 24)
+        assert (ranges.merge_counts(ranges.split_counts(few, cuts, 3).to_pylist(), 3) == few).all()
+
+
+def test_asking_costs_as_the_grams_do():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 1 << 16, 20_000)
+    row = pa.RecordBatch.from_pydict({"chunk": [1], "words": [_shared.pack(words.astype(np.uint64))], "heads": [_shared.pack(rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64))], "sizes": [[20_000]]})
+    rows = {}
+    for buckets in (100, 10_000_000):
+        out = list(ngrams._asker(3, _shared.Ranges(55, buckets, 60_000 / buckets), 55, 5)(iter([row])))
+        rows[buckets] = sum(b.num_rows for b in out)
+    assert rows[100] <= 100 and rows[10_000_000] <= 60_000
 
 
 # segmentations

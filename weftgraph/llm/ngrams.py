@@ -5,8 +5,9 @@
    all chunks, which makes it one partition of the n-gram count tables.
 3. The bucket joins its table back to each chunk's n-grams and sends the counts home; a chunk scores each word and sums per document.
 
-Rows between the steps carry sorted arrays, not single n-grams: the join is a merge of sorted hashes. An n-gram is known by a hash
-that is 24 bits wider than the number of words needs, so that one in 2**24 shares its count with another.
+Rows between the steps carry sorted arrays, not single n-grams: the join is a merge of sorted hashes. What a chunk sends costs as
+its n-grams do, however many buckets there are. An n-gram is known by a hash that is 24 bits wider than the number of words needs,
+so that one in 2**24 shares its count with another.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import map_arrow, materialize, ship, slices, trim
+from weftgraph.llm._shared import Ranges, map_arrow, materialize, pack, ship, slices, trim, unpack
 
 ORDER = 3
 #: The factor of each step back, and how often an n-gram must occur to be used (one that occurs once is only the text's own).
@@ -34,25 +34,6 @@ CHUNK = "docs array<long>, sizes array<int>, words binary, heads binary, n long"
 SCORES = "id long, n_words long, log_score double, n_by_order array<long>"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers by byte planes, compressed; planes that are zero throughout cost next to nothing."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -109,41 +90,48 @@ def _chunk_grams(row: dict, order: int, bits: int) -> list[tuple[np.ndarray, np.
     return grams_of(unpack(row["words"]).astype(np.int64), unpack(row["heads"]), np.array(row["sizes"], np.int64), order, bits)
 
 
-def _bucket_cuts(values: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each bucket starts in sorted hashes: they are cut into ranges of equal width."""
-    bounds = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
-    return np.concatenate([np.searchsorted(values, bounds), [len(values)]])
+def _asker(order: int, ranges: Ranges, bits: int, count_bytes: int) -> Callable:
+    kinds = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
 
+    def lists(parts: list[pa.Array], n: int) -> pa.Array:
+        """A list a row, with one item of each part."""
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * len(parts))
+        turns = np.arange(n)[:, None] + np.arange(len(parts)) * n
+        return pa.ListArray.from_arrays(offsets, pa.concat_arrays(parts).take(pa.array(turns.ravel())))
 
-def _asker(order: int, buckets: int, bits: int) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {x: batch.column(x)[k].as_py() for x in ("words", "heads", "sizes")}
                 counted = [np.unique(h, return_counts=True) for h, _ in _chunk_grams(row, order, bits)]
-                cuts = [_bucket_cuts(u, buckets, bits) for u, _ in counted]
-                blobs = [([pack_sorted(u[c[b] : c[b + 1]]) for (u, _), c in zip(counted, cuts, strict=True)], [pack(n[c[b] : c[b + 1]]) for (_, n), c in zip(counted, cuts, strict=True)]) for b in range(buckets)]
-                some = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
-                chunk = batch.column("chunk")[k].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([blobs[b][0] for b in some], pa.list_(pa.binary())), pa.array([blobs[b][1] for b in some], pa.list_(pa.binary()))], names=["bucket", "chunk", "grams", "counts"])
+                own = [ranges.cuts(u) for u, _ in counted]
+                buckets = np.unique(np.concatenate([b for b, _ in own]))
+                grams, counts = [], []
+                for (u, n), (b, c) in zip(counted, own, strict=True):
+                    cuts = np.append(c[np.searchsorted(b, buckets)], len(u))
+                    grams.append(ranges.split(u, buckets, cuts))
+                    counts.append(ranges.split_counts(n, cuts, count_bytes))
+                cols = [pa.array(buckets), pa.array(np.full(len(buckets), batch.column("chunk")[k].as_py(), np.int64)), lists(grams, len(buckets)), lists(counts, len(buckets))]
+                whole = pa.RecordBatch.from_arrays(cols, schema=kinds)
+                for at in range(0, len(buckets), 10_000):
+                    yield whole.slice(at, 10_000)
 
     return ask
 
 
-def _answer(order: int) -> Callable:
+def _answer(order: int, ranges: Ranges, count_bytes: int) -> Callable:
     def answer(table: pa.Table) -> pa.Table:
         """One bucket's count tables, joined back to the n-grams of each chunk."""
         grams, counts = table.column("grams").to_pylist(), table.column("counts").to_pylist()
-        out: list[list[bytes]] = [[] for _ in grams]
+        out = []
         for n in range(order):
-            asked = [unpack_sorted(g[n]) for g in grams]
-            _, place = np.unique(np.concatenate(asked), return_inverse=True)
-            total = np.bincount(place, np.concatenate([unpack(c[n]) for c in counts]).astype(np.float64)) if len(place) else np.empty(0)
+            asked, sizes = ranges.merge([g[n] for g in grams])
+            _, place = np.unique(asked, return_inverse=True)
+            total = np.bincount(place, ranges.merge_counts([c[n] for c in counts], count_bytes).astype(np.float64)) if len(place) else np.empty(0)
             told = total[place].astype(np.uint64) if len(place) else np.empty(0, np.uint64)
-            for k, part in enumerate(np.split(told, np.cumsum([len(a) for a in asked])[:-1])):
-                out[k].append(pack(part))
+            out.append(ranges.split_counts(told, np.concatenate([[0], np.cumsum(sizes)]), count_bytes).to_pylist())
         trim()
-        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(out, pa.list_(pa.binary()))], names=["chunk", "bucket", "told"])
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array(list(map(list, zip(*out, strict=True))), pa.list_(pa.binary()))], names=["chunk", "bucket", "told"])
 
     return answer
 
@@ -168,14 +156,14 @@ def score_words(grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndar
     return score, used
 
 
-def _scorer(order: int, bits: int, total: int, backoff: float, min_count: int) -> Callable:
+def _scorer(order: int, ranges: Ranges, bits: int, total: int, count_bytes: int, backoff: float, min_count: int) -> Callable:
     def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = {x: chunk.column(x)[0].as_py() for x in ("docs", "words", "heads", "sizes")}
         grams = _chunk_grams(row, order, bits)
         answers = told.sort_by("bucket").column("told").to_pylist()
         counts = []
         for n, (hashes, _) in enumerate(grams):
-            known = np.concatenate([unpack(a[n]) for a in answers]) if answers else np.empty(0)
+            known = ranges.merge_counts([a[n] for a in answers], count_bytes)
             _, place = np.unique(hashes, return_inverse=True)
             counts.append(known[place].astype(np.float64) if len(place) else np.empty(0))
         sizes = np.array(row["sizes"], np.int64)
@@ -205,10 +193,12 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunks = materialize(map_arrow(rows, _chunker, CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    bits = min(64, 24 + max(8, math.ceil(math.log2(max(2, order * total)))))
+    bits = min(63, 24 + max(8, math.ceil(math.log2(max(2, order * total)))))
     buckets = max(1, -(-order * total // BUCKET))
-    asked = map_arrow(chunks.select("chunk", "words", "heads", "sizes"), _asker(order, buckets, bits), "bucket int, chunk long, grams array<binary>, counts array<binary>")
-    told = materialize(asked.groupBy("bucket").applyInArrow(_answer(order), "chunk long, bucket int, told array<binary>"), "counts")
+    ranges = Ranges(bits, buckets, order * total / max(1, chunks.count()) / buckets)
+    count_bytes = max(1, total.bit_length() + 7 >> 3)
+    asked = map_arrow(chunks.select("chunk", "words", "heads", "sizes"), _asker(order, ranges, bits, count_bytes), "bucket long, chunk long, grams array<binary>, counts array<binary>")
+    told = materialize(asked.groupBy("bucket").applyInArrow(_answer(order, ranges, count_bytes), "chunk long, bucket long, told array<binary>"), "counts")
     pairs = chunks.select("chunk", "docs", "words", "heads", "sizes").groupBy("chunk").cogroup(told.groupBy("chunk"))
-    scored = pairs.applyInArrow(_scorer(order, bits, total, backoff, min_count), SCORES)
+    scored = pairs.applyInArrow(_scorer(order, ranges, bits, total, count_bytes, backoff, min_count), SCORES)
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"), "n_by_order")
