@@ -17,10 +17,9 @@ from weftgraph.llm.packing import Encoder, make_plan, pack_documents
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def reference():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+def reference(path=PATH):
+    """The tokenizer as its file has it, special tokens within texts included."""
+    return Tokenizer.from_file(path)
 
 
 def fewest(sizes, capacity):
@@ -93,6 +92,50 @@ def test_encoder_equals_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_special_tokens_in_texts():
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext|", "<|endoftext|><|endoftext|> é"]
+    t, e = reference(), Encoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(e.encode(texts[:1])[0], "<u4").tolist() == [343, 49407, 344]
+
+
+def test_other_tokenizer_files():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The Quick  brown fox's 123", "", " \n x", "<|endoftext|> Ünï", "日本"]
+    t, e = reference(path), Encoder(path)
+    assert not e.plain and Encoder(PATH).plain
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_plan_does_not_grow_with_the_corpus():
+    def runs(n, seed):
+        rng = random.Random(seed)
+        histogram = defaultdict(int)
+        for _ in range(3000):
+            histogram[rng.randint(1025, 4096)] += rng.randint(1, 2 * n // 3000)
+        plan = make_plan(histogram)
+        assert sum(plan.used.values()) == sum(histogram.values())
+        return sum(map(len, plan.runs.values()))
+
+    assert runs(10_000_000, 1) < 2 * runs(100_000, 1) < 40_000
+    two = make_plan({1300: 60_000, 1400: 60_000})
+    assert sum(map(len, two.runs.values())) < 50 and two.sequences == 45_000  # 30,000 of 1400 + 1300 + 1300, 15,000 of 1400 + 1400
+
+
+def test_steps_of_many_at_once_equal_single_steps(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(40):
+        capacity = rng.choice([12, 20, 31])
+        histogram = {s: rng.randint(1, 30) for s in rng.sample(range(1, capacity + 1), rng.randint(1, 6))}
+        many = make_plan(histogram, capacity)
+        monkeypatch.setattr(packing, "SPARE", 10**9)
+        single = make_plan(histogram, capacity)
+        monkeypatch.undo()
+        assert (many.sequences, many.fixed) == (single.sequences, single.fixed)
+        fill = lambda plan: sorted(tuple(sorted(length for _, length in items)) for items in placed(plan, histogram).values())
+        assert fill(many) == fill(single)
+
+
 def test_encoder_forgets_and_remembers(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     e = Encoder(PATH)

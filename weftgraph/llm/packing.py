@@ -9,6 +9,7 @@ The plan says which ranks of a length go where; the documents get their ranks in
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -27,9 +28,14 @@ from weftgraph.llm._shared import map_arrow, materialize, slices
 CAPACITY = 4096
 #: Groups into which the pieces of one length are salted.
 SALT = 1024
+#: Items of a length beyond which no test in ``_dominating`` can tell how many there are.
+SPARE = 4
 #: Words whose ids a worker remembers, in each of two generations; a longer text may exceed it while it is encoded.
 REMEMBERED = 120_000
-# How the tokenizer file splits normalised text, and characters for which splitting here is the same.
+# How a tokenizer file has to normalise and split for words to be remembered here, and characters for which that is the same.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 OTHER = re.compile("[^\t\n\r -~\xa1-ɏ‐-‧‰-⁞]")
 
@@ -66,27 +72,44 @@ class _Remembered(dict):
         self.clear()
 
 
+def splits_as_here(config: dict) -> bool:
+    """Whether a tokenizer file normalises and splits as ``Encoder`` does for itself; any other goes through the tokenizer."""
+    return (
+        config.get("normalizer") == NORMALIZER
+        and config.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLITTER, BYTES]}
+        and config.get("model", {}).get("type") == "BPE"
+        and not config["model"].get("dropout")
+        and not (config.get("truncation") or config.get("padding"))
+        and not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in config.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes: those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    The tokenizer encodes each split word by itself, and words do not span white space, so both are remembered, up to a bound; a
-    text with characters whose normalisation could differ here goes through the tokenizer as a whole.
+    If the tokenizer's file says that it encodes each split word by itself, and that words do not span white space, both are
+    remembered, up to a bound. A text that holds an added token, or characters whose normalisation could differ here, goes through
+    the tokenizer as a whole, and so does every text under another kind of file.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        self.plain = splits_as_here(config)
+        self.added = [t["content"].lower() for t in config.get("added_tokens", [])]
         self.known = _Remembered(self.tokenizer.model)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if OTHER.search(text):
+            lower = text.lower()
+            if not self.plain or OTHER.search(text) or any(t in lower for t in self.added):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                out.append(b"".join(map(self.known.__getitem__, text.lower().split())))
+                out.append(b"".join(map(self.known.__getitem__, lower.split())))
             if len(self.known) > REMEMBERED:
                 self.known.age()
         return out
@@ -215,7 +238,8 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 kinds = {g: group.count(g) for g in group}
                 n = min(counts[g] // k for g, k in kinds.items())
                 if len(group) == 3:
-                    n = 1  # what dominates may change with the smallest items
+                    # what dominates turns on whether a length has up to three items besides; as long as its own have more, it stays
+                    n = max(1, min((counts[g] - SPARE) // k for g, k in kinds.items()))
                 offset = 0
                 for g in sorted(kinds, reverse=True):
                     plan.put(g, n * kinds[g], plan.sequences, kinds[g], offset)
