@@ -102,7 +102,7 @@ from d
 
 #: Positions are sums of the lengths of matches and of what lies between them.
 OP9_SQL = r"""
-with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t, coalesce(source, '') as o from documents),
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t, coalesce(source, '') as o, coalesce(cast(doc_id as varchar), '') as r from documents),
 pat(kind) as (values (0), (1), (2)),
 hits as (
   select row, kind, case kind
@@ -111,18 +111,22 @@ hits as (
          case kind when 0 then regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) end as v,
          case kind
            when 0 then string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
-           when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+') else string_split_regex(t, '[0-9a-f]{32,}') end as s, o
+           when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+') else string_split_regex(t, '[0-9a-f]{32,}') end as s, o, r
   from d cross join pat
 ),
-each as (select row, kind, o, m, s, v, unnest(range(1, len(m) + 1)) as i from hits),
+each as (select row, kind, o, r, m, s, v, unnest(range(1, len(m) + 1)) as i from hits),
 spans as (
-  select row, kind, o, coalesce(v[i], m[i]) as value,
+  select row, kind, o, r, coalesce(v[i], m[i]) as value,
          cast(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as first, length(m[i]) as n
   from each
 ),
-base as (select row, kind, o, value, first, first + n as last from spans where length(value) >= case kind when 0 then 8 when 1 then 16 else 32 end),
-owners as (select value, count(distinct o) as owners from base group by value),
-judged as (select b.*, owners, owners < 3 and len(list_distinct(string_split(b.value, ''))) >= 6 as live from base b join owners using (value)),
+base as (select row, kind, o, r, value, first, first + n as last from spans where length(value) >= case kind when 0 then 8 when 1 then 16 else 32 end),
+owners as (select value, count(distinct o) as owners, count(distinct (o, r)) as repos from base group by value),
+looks as (
+  select value, list_sum(list_transform(list_distinct(chars), lambda c: -(len(list_filter(chars, lambda x: x = c)) / len(chars)) * log2(len(list_filter(chars, lambda x: x = c)) / len(chars)))) as entropy
+  from (select value, string_split(value, '') as chars from owners)
+),
+judged as (select b.*, owners, repos, owners >= 3 or repos >= 25 as shared, owners < 3 and repos < 25 and entropy >= 2.95 as live from base b join owners using (value) join looks using (value)),
 every as (
   select distinct row, first, kind, last from judged
   union select distinct row, last - length(value), 3, last from judged where live
@@ -133,9 +137,9 @@ listed as (
          count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex
   from every group by row
 ),
-found as (select row, count(distinct value) filter (live) as n_live, count(distinct value) filter (owners >= 3) as n_shared, max(owners) as max_owners from judged group by row)
+found as (select row, count(distinct value) filter (live) as n_live, count(distinct value) filter (shared) as n_shared, max(owners) as max_owners, max(repos) as max_repos from judged group by row)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
-       coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_shared, 0) as n_shared, coalesce(max_owners, 0) as max_owners
+       coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_shared, 0) as n_shared, coalesce(max_owners, 0) as max_owners, coalesce(max_repos, 0) as max_repos
 from d left join listed using (row) left join found using (row)
 """
 

@@ -1,9 +1,9 @@
 """Secret scan by corpus-wide ownership frequency. DataFrame functions only.
 
 A candidate is a match of one of three fixed patterns. The hash of its secret value is counted over the corpus: in how many
-distinct repositories and for how many distinct owners it occurs. A value that many owners hold is a copied example; a value of
-few owners that looks random is reported once more, as a span of kind ``live`` over the value alone. Owners alone decide:
-the count of repositories is in no condition and no column.
+distinct repositories and for how many distinct owners it occurs. A value that ``min_owners`` owners hold, or that lies in
+``min_repos`` repositories of however few, is a widely copied example. Any other is owner-specific, and if it also looks random, by
+the entropy of its characters, it is reported once more, as a span of kind ``live`` over the value alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._shared import materialize, plain
+from weftgraph.llm._shared import hot_join, materialize, plain
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,6 +23,10 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "live")
 PATTERNS = (ASSIGN, ACCESS, HEX)
 MIN_VALUE = 8
+#: From how many owners, or repositories, a value counts as copied.
+MIN_OWNERS, MIN_REPOS = 3, 25
+#: Bits a character from which a value looks random, by kind: words lie below, random letters and digits of these lengths above.
+MIN_ENTROPY = (2.95, 2.95, 2.95)
 #: A row without any of these holds no candidate.
 ANY = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 
@@ -75,22 +79,45 @@ def listed(spans: Column) -> Column:
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """By ``hash``: distinct owners and repositories. ``values`` has hash, owner, repo; both levels combine before the shuffle."""
-    pairs = values.groupBy("hash", "owner").agg(F.countDistinct("repo").alias("repos"))
-    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    """By ``hash``: distinct ``owners`` and ``repos``, and ``n`` rows. ``values`` has hash, owner, repo; a repository is one of its
+    owner's. Each level combines before it is shuffled, so a value in a third of all rows is no large task."""
+    each = values.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    pairs = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def live_looking(value: Column) -> Column:
-    """Whether a value looks random: at least 6 different characters."""
-    return F.size(F.array_distinct(F.split(value, ""))) >= 6
+def entropy(value: Column) -> Column:
+    """Bits a character, from how often each character occurs in the value."""
+    chars = F.split(value, "")
+    n = F.length(value).cast("double")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    return F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, min_owners: int = 3) -> DataFrame:
+def random_looking(value: Column, kind: Column) -> Column:
+    """Whether a value's entropy reaches its kind's least one."""
+    return entropy(value) >= F.get(F.array(*[F.lit(x) for x in MIN_ENTROPY]), kind)
+
+
+def _hashed(found: str) -> Column:
+    """Spans with their value's hash and whether it looks random, in place of the value."""
+    return F.transform(found, lambda s: s.withField("hash", F.sha2(s["value"], 256)).withField("random", random_looking(s["value"], s["kind"])).dropFields("value"))
+
+
+def _judged(each: DataFrame, min_owners: int, min_repos: int) -> DataFrame:
+    """``each`` (.., hash, owner, repo) with ``owners``, ``repos`` and ``shared``."""
+    owners = materialize(ownership(each.select("hash", "owner", "repo")), "owners")
+    shared = (F.col("owners") >= min_owners) | (F.col("repos") >= min_repos)
+    return hot_join(each.drop("owner", "repo"), owners.drop("n").withColumn("shared", shared), "hash", owners.select("hash", "n"))
+
+
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
     """Find secrets in every row of ``df``, and tell copied examples from owner-specific ones.
 
     Returns a row for each row of ``df``: the id, ``n_assign``, ``n_access``, ``n_hex`` (long), ``base_sha256``, ``spans``,
-    ``n_live`` (values of fewer than ``min_owners`` owners that look random), ``n_shared`` (values of more owners) and
-    ``max_owners``. ``repo_col`` defaults to the id: every document counts as a repository of its owner.
+    ``n_live`` (owner-specific values that look random), ``n_shared`` (values of ``min_owners`` owners or ``min_repos``
+    repositories), ``max_owners`` and ``max_repos``. ``repo_col`` defaults to the id: every document counts as a repository of its
+    owner.
 
     Null text counts as empty. Null owners are one owner. Null ids and repeated rows are kept, each with a result of its own.
     Texts without a match have zero counts, the SHA-256 of nothing and empty ``spans``. An empty table gives an empty result.
@@ -103,17 +130,17 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     found = candidate_spans(rows, "text", "found").drop("text").withColumn("row", F.monotonically_increasing_id())
-    found = materialize(found.withColumn("found", F.transform("found", lambda s: s.withField("hash", F.sha2(s["value"], 256)).withField("live", live_looking(s["value"])).dropFields("value"))), "secrets")
+    found = materialize(found.withColumn("found", _hashed("found")), "secrets")
     each = found.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s"))
-    owners = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
-    judged = each.select("row", "s", F.col("s.hash").alias("hash")).join(owners, "hash")
-    live = F.col("s.live") & (F.col("owners") < min_owners)
+    judged = _judged(each.select("row", "owner", "repo", "s", F.col("s.hash").alias("hash")), min_owners, min_repos)
+    live = F.col("s.random") & ~F.col("shared")
     added = F.struct(F.col("s.vstart").alias("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("s.end").alias("end"))
     by_row = judged.groupBy("row").agg(
         F.collect_set(F.when(live, added)).alias("added"),
         F.countDistinct(F.when(live, F.col("hash"))).alias("n_live"),
-        F.countDistinct(F.when(F.col("owners") >= min_owners, F.col("hash"))).alias("n_shared"),
+        F.countDistinct(F.when(F.col("shared"), F.col("hash"))).alias("n_shared"),
         F.max("owners").alias("max_owners"),
+        F.max("repos").alias("max_repos"),
     )
     base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -129,29 +156,31 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
         F.coalesce("max_owners", F.lit(0)).cast("long").alias("max_owners"),
+        F.coalesce("max_repos", F.lit(0)).cast("long").alias("max_repos"),
     )
 
 
-def mask_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", min_owners: int = 3) -> DataFrame:
-    """``df`` with every secret replaced: ``[SECRET]`` where its value is owner-specific, ``[EXAMPLE]`` where many owners hold it.
+def mask_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """``df`` with every secret replaced: ``[SECRET]`` where its value is owner-specific, ``[EXAMPLE]`` where it is widely copied.
 
-    Rows without a candidate pass as they are, and no row is dropped. Where spans overlap, what they cover together is replaced
+    Texts are scanned once. Rows without a candidate pass as they are, and no row is dropped: repeated rows each stay and are masked
+    alike, and rows with a null id count as one repository of their owner. Where spans overlap, what they cover together is replaced
     once, as a secret if any of them is one. Columns and their order stay; null texts stay null.
     """
-    hit = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    clean, dirty = df.filter(~hit), df.filter(hit)
-    rows = dirty.select(
-        F.sha2(F.col(text_col), 256).alias("key"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"),
-        F.col(text_col).alias("text"),
+    row = F.struct(*[F.col(plain(c)).alias(c) for c in df.columns if c != text_col])
+    rows = df.select(
+        (row if len(df.columns) > 1 else F.lit(None).cast("string")).alias("rest"),
+        F.coalesce(F.col(plain(owner_col)).cast("string"), F.lit("")).alias("owner"),
+        F.coalesce(F.col(plain(repo_col)).cast("string"), F.lit("")).alias("repo"),
+        F.col(plain(text_col)).alias("text"),
+        F.coalesce(F.col(plain(text_col)), F.lit("")).alias("whole"),
     )
-    found = candidate_spans(rows, "text", "found").select("key", "owner", "repo", F.transform("found", lambda s: s.withField("hash", F.sha2(s["value"], 256)).dropFields("value")).alias("found"))
-    each = materialize(found.filter(F.size("found") > 0).select("key", "owner", "repo", F.explode("found").alias("s")), "masks")
-    owners = ownership(each.select(F.col("s.hash").alias("hash"), "owner", "repo"))
-    spans = each.select("key", F.col("s.hash").alias("hash"), F.col("s.start").alias("start"), F.col("s.end").alias("end")).distinct()
-    by_text = spans.join(owners, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", (F.col("owners") < min_owners).alias("own")))).alias("__weft_spans"))
-    text = F.col(text_col)
+    spans = candidate_spans(rows, "whole", "found").drop("whole").withColumn("row", F.monotonically_increasing_id())
+    found = materialize(spans.withColumn("found", F.transform("found", lambda s: s.withField("hash", F.sha2(s["value"], 256)).dropFields("value"))), "masks")
+    each = found.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s"))
+    judged = _judged(each.select("row", "owner", "repo", "s", F.col("s.hash").alias("hash")), min_owners, min_repos)
+    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), (~F.col("shared")).alias("own")))).alias("spans"))
+    text = F.col("text")
     empty = F.array().cast("array<struct<start:int,end:int,own:boolean>>")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -160,10 +189,12 @@ def mask_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
         apart = F.concat(acc, F.array(s))
         return F.when(F.size(acc) == 0, apart).when(s["start"] < last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(apart)
 
-    merged = F.aggregate("__weft_spans", empty, merge)
-    step = dirty.withColumn("__weft_key", F.sha2(text, 256)).join(by_text.withColumnRenamed("key", "__weft_key"), "__weft_key", "left").withColumn("__weft_spans", F.when(F.col("__weft_spans").isNotNull(), merged).otherwise(empty))
+    step = found.filter(F.size("found") > 0).select("rest", "text", "row").join(by_row, "row").withColumn("merged", F.aggregate("spans", empty, merge))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     put = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.when(s["own"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))).alias("out"))
-    masked = F.aggregate("__weft_spans", start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    columns = [masked.alias(c) if c == text_col else F.col(plain(c)) for c in df.columns]
-    return clean.unionByName(step.select(*columns))
+    masked = F.aggregate("merged", start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+    def shaped(rows: DataFrame, text: Column) -> DataFrame:
+        return rows.select(*[text.alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns])
+
+    return shaped(found.filter(F.size("found") == 0), text).unionByName(shaped(step, masked))
