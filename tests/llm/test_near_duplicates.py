@@ -136,6 +136,43 @@ def test_similar_texts_equal_brute_force(spark):
     assert drop_similar(df.limit(0)).count() == 0
 
 
+def test_prefixes_lose_no_similar_pair():
+    """Of two similar sets, some shingle is in both prefixes with room for enough common ones after it; brute force over random sets."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(30, 61)], rng.integers(0, 1 << 62, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(12)]
+        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+        _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        at, places, lone = simhash.prefixes(flat, n[place].astype(float), of, sizes)
+        assert lone.tolist() == [int((n[place][of == i] == 1).sum()) for i in range(len(sets))]
+        rows = [(int(flat[i]), int(of[i]), int(p)) for i, p in zip(at, places, strict=True)]
+        met = {(a, b) for g, a, p in rows for h, b, q in rows if g == h and a < b and 9 * (1 + min(sizes[a] - p, sizes[b] - q)) >= 4 * (sizes[a] + sizes[b])}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert 5 * both < 4 * (sizes[a] + sizes[b] - both) or (a, b) in met
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_large_groups_of_similar_texts(spark, monkeypatch, rounds):
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng = random.Random(rounds)
+    texts = []
+    for g in range(2):
+        base = [f"b{g}w{i}" for i in range(120)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randrange(6)):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [plain_shingles(t) for t in texts]
+    similar = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in drop_similar(df).collect()) == sorted(set(roots(len(texts), similar)))
+
+
 def test_e8_decoding():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(300, 8)) * 3

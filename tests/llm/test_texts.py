@@ -255,7 +255,8 @@ def test_asking_costs_as_the_grams_do():
     row = pa.RecordBatch.from_pydict({"chunk": [1], "words": [_shared.pack(words.astype(np.uint64))], "heads": [_shared.pack(rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64))], "sizes": [[20_000]]})
     rows = {}
     for buckets in (100, 10_000_000):
-        out = list(ngrams._asker(3, _shared.Ranges(55, buckets, 60_000 / buckets), 55, 5)(iter([row])))
+        grams = lambda x: [h for h, _ in ngrams._chunk_grams(x, 3, 55)]
+        out = list(ngrams.counts_asker(grams, ("words", "heads", "sizes"), _shared.Ranges(55, buckets, 60_000 / buckets), 5)(iter([row])))
         rows[buckets] = sum(b.num_rows for b in out)
     assert rows[100] <= 100 and rows[10_000_000] <= 60_000
 

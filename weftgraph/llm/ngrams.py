@@ -90,7 +90,8 @@ def _chunk_grams(row: dict, order: int, bits: int) -> list[tuple[np.ndarray, np.
     return grams_of(unpack(row["words"]).astype(np.int64), unpack(row["heads"]), np.array(row["sizes"], np.int64), order, bits)
 
 
-def _asker(order: int, ranges: Ranges, bits: int, count_bytes: int) -> Callable:
+def counts_asker(grams_of_row: Callable[[dict], list[np.ndarray]], columns: tuple[str, ...], ranges: Ranges, count_bytes: int) -> Callable:
+    """Each chunk's distinct grams with their counts, in rows by bucket. ``grams_of_row`` gives the hashes of a chunk from its ``columns``."""
     kinds = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
 
     def lists(parts: list[pa.Array], n: int) -> pa.Array:
@@ -102,8 +103,7 @@ def _asker(order: int, ranges: Ranges, bits: int, count_bytes: int) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {x: batch.column(x)[k].as_py() for x in ("words", "heads", "sizes")}
-                counted = [np.unique(h, return_counts=True) for h, _ in _chunk_grams(row, order, bits)]
+                counted = [np.unique(h, return_counts=True) for h in grams_of_row({x: batch.column(x)[k].as_py() for x in columns})]
                 own = [ranges.cuts(u) for u, _ in counted]
                 buckets = np.unique(np.concatenate([b for b, _ in own]))
                 grams, counts = [], []
@@ -119,7 +119,11 @@ def _asker(order: int, ranges: Ranges, bits: int, count_bytes: int) -> Callable:
     return ask
 
 
-def _answer(order: int, ranges: Ranges, count_bytes: int) -> Callable:
+#: What ``counts_asker`` gives, and ``counts_answer``.
+ASKED, TOLD = "bucket long, chunk long, grams array<binary>, counts array<binary>", "chunk long, bucket long, told array<binary>"
+
+
+def counts_answer(order: int, ranges: Ranges, count_bytes: int) -> Callable:
     def answer(table: pa.Table) -> pa.Table:
         """One bucket's count tables, joined back to the n-grams of each chunk."""
         grams, counts = table.column("grams").to_pylist(), table.column("counts").to_pylist()
@@ -136,6 +140,13 @@ def _answer(order: int, ranges: Ranges, count_bytes: int) -> Callable:
     return answer
 
 
+def told_counts(told: pa.Table, n: int, hashes: np.ndarray, ranges: Ranges, count_bytes: int) -> np.ndarray:
+    """The corpus count of each of a chunk's ``hashes``, from the answers to its list ``n``."""
+    known = ranges.merge_counts([a[n] for a in told.column("told").to_pylist()], count_bytes)
+    _, place = np.unique(hashes, return_inverse=True)
+    return known[place].astype(np.float64) if len(place) else np.empty(0)
+
+
 def score_words(grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], words: int, total: int, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """The log score of each word and the order that gave it. ``counts``: of the n-grams that end at the words of ``grams``."""
     full = [np.zeros(words) for _ in grams]
@@ -160,12 +171,8 @@ def _scorer(order: int, ranges: Ranges, bits: int, total: int, count_bytes: int,
     def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
         row = {x: chunk.column(x)[0].as_py() for x in ("docs", "words", "heads", "sizes")}
         grams = _chunk_grams(row, order, bits)
-        answers = told.sort_by("bucket").column("told").to_pylist()
-        counts = []
-        for n, (hashes, _) in enumerate(grams):
-            known = ranges.merge_counts([a[n] for a in answers], count_bytes)
-            _, place = np.unique(hashes, return_inverse=True)
-            counts.append(known[place].astype(np.float64) if len(place) else np.empty(0))
+        told = told.sort_by("bucket")
+        counts = [told_counts(told, n, hashes, ranges, count_bytes) for n, (hashes, _) in enumerate(grams)]
         sizes = np.array(row["sizes"], np.int64)
         each, used = score_words(grams, counts, int(sizes.sum()), total, backoff, min_count)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -197,8 +204,9 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(1, -(-order * total // BUCKET))
     ranges = Ranges(bits, buckets, order * total / max(1, chunks.count()) / buckets)
     count_bytes = max(1, total.bit_length() + 7 >> 3)
-    asked = map_arrow(chunks.select("chunk", "words", "heads", "sizes"), _asker(order, ranges, bits, count_bytes), "bucket long, chunk long, grams array<binary>, counts array<binary>")
-    told = materialize(asked.groupBy("bucket").applyInArrow(_answer(order, ranges, count_bytes), "chunk long, bucket long, told array<binary>"), "counts")
+    asker = counts_asker(lambda row: [h for h, _ in _chunk_grams(row, order, bits)], ("words", "heads", "sizes"), ranges, count_bytes)
+    asked = map_arrow(chunks.select("chunk", "words", "heads", "sizes"), asker, ASKED)
+    told = materialize(asked.groupBy("bucket").applyInArrow(counts_answer(order, ranges, count_bytes), TOLD), "counts")
     pairs = chunks.select("chunk", "docs", "words", "heads", "sizes").groupBy("chunk").cogroup(told.groupBy("chunk"))
     scored = pairs.applyInArrow(_scorer(order, ranges, bits, total, count_bytes, backoff, min_count), SCORES)
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"), "n_by_order")

@@ -8,8 +8,11 @@ Most values are emitted once, so what is shuffled first is only a hash of each,
 and packed as sorted numbers: some 2 bytes a value. Each bucket answers which places of a chunk met another value, and only those
 values travel whole, with their fingerprints. Costs follow the number of fingerprints; no key gets more than its ball's size.
 
-``drop_similar`` asks for a similarity instead of a radius. A ball wide enough for it is too large to emit, so bands of minimum
-hashes give the candidates that the balls miss, and the exact Jaccard similarity of the shingle sets decides on both.
+``drop_similar`` asks for a similarity instead of a radius. A ball wide enough for it is too large to emit, so what shares a band of
+minimum hashes is looked at too. Pairs come from prefixes: of two sets similar enough, each has a shingle of the other among its
+rarest fifth, at a place that leaves room for enough common ones. Exact Jaccard similarity decides on every pair. Most pairs of a
+large group are never formed: rounds of comparisons with one central member each connect it first, and only what is still apart
+goes through the prefixes.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm._shared import Ranges, discard, hot_join, map_arrow, materialize, plain, ship, slices, trim
 from weftgraph.llm.components import connected_components
+from weftgraph.llm.ngrams import ASKED, TOLD, counts_answer, counts_asker, told_counts
 
 #: Fingerprints that a chunk holds, and values that a bucket holds, about.
 CHUNK, BUCKET = 2048, 4_000_000
@@ -33,6 +37,10 @@ SEED = 42
 #: The least similarity that links, as a fraction; and bands of minimum hashes: a pair at 0.8 shares none of them once in 300,000 times.
 SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 24, 4
+#: Rounds in which each bucket is compared with one member; what they leave apart is compared pair by pair.
+ROUNDS = 4
+#: Shingles of a chunk, and of a bucket of the table that counts them.
+SET_CHUNK, SET_BUCKET = 1_000_000, 2_000_000
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -345,15 +353,96 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of vertices those whose shingle sets are similar."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "similar-pairs")
     held = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
-    return materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
+    links = materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
+    discard(pairs)
+    return links
+
+
+def _set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about SET_CHUNK shingles: vertices, sizes of their sets, and all sets."""
+
+    def row(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (np.array(nodes, np.int64).tobytes(), sizes.tobytes(), b"".join(sets))] + [pa.array([int(sizes.sum())])], names=["nodes", "sizes", "grams", "n"])
+
+    nodes, sets, n = [], [], 0
+    for batch in batches:
+        for node, grams in zip(batch.column("node").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            nodes.append(node)
+            sets.append(grams)
+            n += len(grams) // 8
+            if n >= SET_CHUNK:
+                yield row(nodes, sets)
+                nodes, sets, n = [], [], 0
+    if nodes:
+        yield row(nodes, sets)
+
+
+def _short(grams: bytes, bits: int) -> np.ndarray:
+    return np.frombuffer(grams, np.uint64) >> np.uint64(64 - bits)
+
+
+def prefixes(grams: np.ndarray, counts: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which shingles are in a prefix of their set and occur in other sets, their places (from 1) in the order of rarity, and how many
+    of each set occur in no other. ``of`` says which set a shingle is of, in order."""
+    top, bottom = SIMILAR
+    order = np.lexsort((grams, counts, of))
+    place = np.empty(len(grams), np.int64)
+    place[order] = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    length = sizes - -(-sizes * top // bottom) + 1
+    at = np.flatnonzero((place <= length[of]) & (counts > 1))
+    return at, place[at], np.bincount(of, counts == 1, len(sizes)).astype(np.int64)
+
+
+def _indexer(ranges: Ranges, count_bytes: int) -> Callable:
+    names = ["node", "size", "lone", "grams", "places"]
+
+    def index(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))], names=names)
+        nodes, sizes = (np.frombuffer(chunk.column(k)[0].as_py(), np.int64) for k in ("nodes", "sizes"))
+        data = chunk.column("grams")[0].as_py()
+        grams, of = np.frombuffer(data, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+        counts = told_counts(told.sort_by("bucket"), 0, _short(data, ranges.bits), ranges, count_bytes)
+        at, places, lone = prefixes(grams, counts, of, sizes)
+        cuts = pa.array(np.searchsorted(of[at], np.arange(len(sizes) + 1)).astype(np.int32))
+        trim()
+        cols = [pa.array(nodes), pa.array(sizes), pa.array(lone / np.maximum(sizes, 1)), pa.ListArray.from_arrays(cuts, pa.array(grams[at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(places.astype(np.int32)))]
+        return pa.table(cols, names=names)
+
+    return index
+
+
+def indexed_prefixes(sets: DataFrame) -> DataFrame:
+    """(node, size, lone, grams, places) of the sets (node, grams): the part of each prefix that other sets share, its places in the
+    set's order of rarity, and which share of the set no other set has. Shingles are counted over all sets by hash, in buckets."""
+    ship(sets.sparkSession)
+    chunks = materialize(map_arrow(sets, _set_chunks, "nodes binary, sizes binary, grams binary, n long").withColumn("chunk", F.monotonically_increasing_id()), "similar-chunks")
+    n_chunks, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = min(63, 24 + max(8, total.bit_length()))
+    buckets = max(1, -(-total // SET_BUCKET))
+    ranges, count_bytes = Ranges(bits, buckets, total / max(1, n_chunks) / buckets), max(1, total.bit_length() + 7 >> 3)
+    asked = map_arrow(chunks.select("chunk", "grams"), counts_asker(lambda row: [_short(row["grams"], bits)], ("grams",), ranges, count_bytes), ASKED)
+    told = materialize(asked.groupBy("bucket").applyInArrow(counts_answer(1, ranges, count_bytes), TOLD), "similar-counts")
+    tasks = max(1, n_chunks)
+    both = chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(told.repartition(tasks, "chunk").groupBy("chunk"))
+    out = materialize(both.applyInArrow(_indexer(ranges, count_bytes), "node long, size long, lone double, grams array<long>, places array<int>"), "similar-index")
+    discard(chunks, told)
+    return out
+
+
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of ``rows`` (key, node, ..) those of keys whose vertices are in several components, with ``component`` and the key's largest as ``top``."""
+    known = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return known.join(several.select("key", F.col("top.component").alias("top")), "key")
 
 
 def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], radius: int = 4) -> DataFrame:
     """(node, component) of the vertices of ``nodes`` (node, fp, bands) that are linked and not their component's smallest.
 
-    Candidates are what the balls link and all pairs that share a band. Only pairs of a candidate that are not yet connected are
-    compared: first what the balls give, then each bucket's members with a leader that differs from band to band, then all pairs
-    of a bucket that are still apart. ``sets_of`` gives (node, grams) for a table of nodes.
+    Looked at are vertices that a ball links or that share a band with another. ``sets_of`` gives (node, grams) for a table of nodes.
     """
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "similar-prints")
     by_balls = fingerprint_links(prints, radius).unionByName(nodes.join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
@@ -363,22 +452,33 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     members = materialize(keys.join(shared, "key").select("key", "node"), "similar-bands")
     asked = members.select("node").union(by_balls.select("a")).union(by_balls.select("b")).distinct()
     sets = materialize(sets_of(asked), "similar-sets")
+    index = indexed_prefixes(sets)
+    members = members.join(index.select("node", "lone"), "node")
 
     links = _similar(by_balls, sets)
-    for leaders in (True, False):
-        groups = connected_components(links)
-        known = materialize(members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "similar-members")
-        parts = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("first"))
-        chosen = parts.groupBy("key").agg(F.max(F.struct("n", "component", "first")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        apart = known.join(chosen.select("key", F.col("top.component").alias("top"), F.col("top.first.node").alias("leader")), "key")
-        apart = materialize(apart, "similar-apart")
-        if leaders:
-            pairs = apart.filter("component <> top").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            # the others of a bucket with all of it: its largest part is not held against itself
-            others = apart.filter("component <> top").select("key", F.col("node").alias("a"), F.col("component").alias("of"))
-            pairs = others.join(apart.select("key", F.col("node").alias("b"), "component"), "key").filter("of <> component").select("a", "b")
-        links = materialize(links.union(_similar(pairs, sets)), "similar-all")
+    for round_ in range(ROUNDS):
+        # the most central member, which shares most of its shingles, against the others; later on among those outside the largest part
+        apart = materialize(_apart(members, connected_components(links)), "similar-apart")
+        pool = apart.filter("component <> top") if round_ else apart
+        leader = pool.groupBy("key").agg(F.min(F.struct("lone", "node", "component")).alias("first"))
+        pairs = pool.join(leader, "key").filter("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        more = _similar(pairs, sets)
+        discard(apart)
+        if more.isEmpty():
+            break
+        links = materialize(links.union(more), "similar-all")
+    # what is still apart: pairs that share a shingle of both prefixes with room for enough common ones after it
+    rows = index.select("node", "size", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(F.col("g.grams").alias("key"), "node", "size", F.col("g.places").alias("place"))
+    apart = materialize(_apart(rows, connected_components(links)), "similar-apart")
+    one, two = apart.filter("component <> top").alias("x"), apart.alias("y")
+    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
+    top, bottom = SIMILAR
+    enough = room * (top + bottom) >= (F.col("x.size") + F.col("y.size")) * top
+    # two outside the largest part are paired once, and one outside with one inside
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & enough & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    links = materialize(links.union(_similar(pairs, sets)), "similar-all")
+    discard(sets, index, apart)
     return connected_components(links)
 
 
@@ -395,8 +495,8 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets_of(asked: DataFrame) -> DataFrame:
         wanted = nodes.join(asked, "node", "left_semi").select("node", F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
-        texts = rows.join(wanted, ["id", "hash"]).select("node", "text")
-        return map_arrow(texts, _set_maker(words), "node long, grams binary").dropDuplicates(["node"])
+        texts = rows.join(wanted, ["id", "hash"]).select("node", "text").dropDuplicates(["node"])
+        return map_arrow(texts, _set_maker(words), "node long, grams binary")
 
     groups = similar_components(nodes.select("node", "fp", "bands"), sets_of, radius)
     first = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("row").alias("row"))
