@@ -3,8 +3,9 @@
 A code is cut into segments, and each segment is an index from its value to the codes that have it. If two codes differ in at most
 m r + a bits over m segments, then one of the first a + 1 segments differs in at most r bits, or one of the others in at most r - 1.
 So the search looks up, for each query, all segment values within these radii, and has then seen every code up to that distance.
-Queries whose kth distance is covered are done; the others go on with larger radii. A query for which there would be more look-ups
-than there are codes is held against all codes instead.
+Queries whose kth distance is covered are done; the others go on with larger radii. A segment has fewer values than there are codes
+to a bucket's hundred, so even the widest radius looks up no more than that. Of what a round finds only the nearest of each query are
+kept, before anything is written or shuffled, so that a dense cluster costs no more than a sparse one.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def within_radii(queries: DataFrame, index: DataFrame, segments: list[tuple[int, int]], radii: list[int], most: int) -> DataFrame:
-    """(q, c, dist, n): pairs of a query and an indexed code that differ in at most ``most`` bits and in at most its radius in some
-    segment; each pair once, from the first such segment."""
+def within_radii(queries: DataFrame, index: DataFrame, segments: list[tuple[int, int]], radii: list[int], most: int, keep: int) -> DataFrame:
+    """(q, c, dist, n, first): pairs of a query and an indexed code that differ in at most ``most`` bits and in at most its radius in
+    some segment; each pair once, from the first such segment. Of each query the ``keep`` nearest, by distance and ``first``."""
     probes = []
     for s, (at, width) in enumerate(segments):
         if radii[s] >= 0:
@@ -61,15 +62,10 @@ def within_radii(queries: DataFrame, index: DataFrame, segments: list[tuple[int,
         first = first & ((F.col("seg") != s) | reduce(lambda a, b: a & b, earlier, F.lit(True)))
     probe, index = probe.alias("p"), index.alias("i")
     near = probe.join(index, (F.col("p.seg") == F.col("i.iseg")) & (F.col("p.value") == F.col("i.ivalue")) & (_distance(F.col("q"), F.col("c")) <= most) & first)
-    return near.select("q", "c", _distance(F.col("q"), F.col("c")).alias("dist"), "n")
-
-
-def within_scan(queries: DataFrame, codes: DataFrame, most: int, blocks: int = 16) -> DataFrame:
-    """As ``within_radii``, but every query is held against every code, in blocks: for the queries whose look-ups would be more."""
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    every = codes.select(F.col("code").alias("c"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    near = asked.join(every, "block").filter(_distance(F.col("q"), F.col("c")) <= most)
-    return near.select("q", "c", _distance(F.col("q"), F.col("c")).alias("dist"), "n")
+    near = near.select("q", "c", _distance(F.col("q"), F.col("c")).alias("dist"), "n", "first")
+    # Spark ranks within each task first, and shuffles only what can be among the nearest
+    place = F.row_number().over(Window.partitionBy("q").orderBy("dist", "first"))
+    return near.withColumn("place", place).filter(F.col("place") <= keep).drop("place")
 
 
 def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int = 10) -> DataFrame:
@@ -77,7 +73,7 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
 
     Exact; of equal distances the smaller id comes first. ``is_query`` is a condition on the columns of ``df``. Rows with a null id
     or code are neither found nor asked. Equal codes are one vertex of the search, with the ``k`` + 1 smallest of its ids, found by
-    salt before they meet. Repeated rows with one id are found repeatedly, but a query never finds its own id, and repeated query rows
+    salt before they meet; rounds compare codes by distance and smallest id. Repeated rows with one id are found repeatedly, but a query never finds its own id, and repeated query rows
     ask once. Fewer rows than ``k`` give shorter lists; an empty table gives none.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(code_col).cast("long").alias("code"), is_query.alias("asks")).filter("id is not null and code is not null")
@@ -89,11 +85,11 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
     salted = Window.partitionBy("code", "salt").orderBy("id")
     some = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT))).withColumn("nth", F.row_number().over(salted)).filter(F.col("nth") <= k + 1)
     members = materialize(some.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("nth") <= k + 1).select("code", "id", "times"), "members")
-    codes = materialize(members.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    codes = materialize(members.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "distinct")
     n_codes = codes.count()
     segments = segments_for(n_codes)
     m = len(segments)
-    index = materialize(reduce(DataFrame.union, [codes.select(F.col("code").alias("c"), "n", F.lit(s).alias("iseg"), _part(F.col("code"), first, width).alias("ivalue")) for s, (first, width) in enumerate(segments)]), "index")
+    index = materialize(reduce(DataFrame.union, [codes.select(F.col("code").alias("c"), "n", "first", F.lit(s).alias("iseg"), _part(F.col("code"), first, width).alias("ivalue")) for s, (first, width) in enumerate(segments)]), "index")
     active = materialize(rows.filter("asks").select(F.col("code").alias("q")).distinct(), "queries")
     results: list[DataFrame] = []
     covered = 2 * m - 1
@@ -101,9 +97,8 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
         radius, extra = divmod(covered, m)
         radii = [min(width, radius if s <= extra else radius - 1) for s, (_, width) in enumerate(segments)]
         last = covered >= BITS
-        lookups = sum(math.comb(width, i) for (_, width), r in zip(segments, radii, strict=True) for i in range(r + 1))
-        near = within_scan(active, codes, covered) if lookups > n_codes else within_radii(active, index, segments, radii, covered)
-        pairs = materialize(near, "pairs")
+        # k + own codes hold as many ids at least, each the nearest of its code, so that no other code can be among the k
+        pairs = materialize(within_radii(active, index, segments, radii, covered, k + own), "pairs")
         done = active.select("q") if last else pairs.groupBy("q").agg(F.sum("n").alias("n")).filter(F.col("n") >= k + own).select("q")
         results.append(pairs.join(done, "q", "left_semi"))
         if last:
@@ -111,7 +106,7 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
         active = materialize(active.join(done, "q", "left_anti"), "queries")
         if active.isEmpty():
             break
-        covered += max(1, m // 2)
+        covered += max(1, m // 2) if len(results) < 3 else m  # few queries are left by then
     found = reduce(DataFrame.union, results)
     ranked = found.join(members, F.col("c") == F.col("code")).select("q", "dist", "id", "times")
     lists = ranked.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).filter(F.col("place") <= k + own)
@@ -124,5 +119,7 @@ def top_k(df: DataFrame, code_col: str, id_col: str, is_query: Column, k: int =
 
 
 def sign_code(vector: str = "embedding") -> Column:
-    """The signs of the first 64 components as a long: bit i is set if component i is positive; null for a null vector."""
+    """The signs of the first 64 components as a long: bit i is set if component i is positive; null for a null vector.
+
+    That is the feature: further components do not count. Project longer vectors to 64 components first if they should."""
     return F.expr(f"aggregate(transform(slice({vector}, 1, 64), (x, i) -> if(coalesce(x, 0) > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
