@@ -2,7 +2,8 @@
 
 In each of a few tables, unit vectors are projected on 8 random directions and decoded to the nearest point of the E8 lattice, whose
 cells hash them. A vector is in the bucket of its own cell and in those of the nearest neighbouring cells; two vectors meet where at
-least one of them is at home. The cosine of all that meet is computed in double precision.
+least one of them is at home. The cosine of all that meet is computed in double precision. Only cells and ids are shuffled to find
+out where vectors meet; a vector itself goes to those buckets only in which it meets another.
 
 Buckets give, for each vector, the number of its links and one link towards the bucket's smallest member, never a row a pair. A pair
 may meet in several buckets; it counts in the first of them only, which both vectors' cells tell without looking elsewhere. A bucket
@@ -32,7 +33,9 @@ SHORTEST = np.array(
     + [list(s) for s in product((1, -1), repeat=8) if s.count(-1) % 2 == 0]
 )
 
-ROW = "key long, grp long, rep long, copies long, home int, tab int, cell long, cells binary, vec binary"
+HASHED = "rep long, grp long, copies long, cells binary, vec binary, keys array<long>"
+#: ``at`` is the place of the bucket among the cells of its vector: by table, and the vector's own cell first.
+ROW = "key long, grp long, rep long, copies long, at int, cells binary, vec binary"
 FOUND = "a long, b long, n long, " + ROW
 
 
@@ -93,17 +96,13 @@ def _hasher(tables: int, probes: int, scale: float, seed: int) -> Callable:
                     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
                     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                     cells = cells_of(unit, tables, probes, scale, seed)
-                    each = tables * (1 + probes)
-                    tab = np.tile(np.repeat(np.arange(tables), 1 + probes), len(own))
-                    home = np.tile(np.arange(each) % (1 + probes) == 0, len(own)).astype(np.int32)
-                    cell = cells.reshape(-1)
-                    g = np.repeat(grp[own], each)
+                    tab = np.repeat(np.arange(tables), 1 + probes)
                     with np.errstate(over="ignore"):
-                        key = (cell * 31 + tab) * 1_000_003 + g * 65_599
-                    blob = np.repeat(np.array([c.tobytes() for c in cells], object), each)
-                    data = np.repeat(np.array([v.tobytes() for v in unit], object), each)
-                    cols = (pa.array(key), pa.array(g), pa.array(np.repeat(rep[own], each)), pa.array(np.repeat(copies[own], each)), pa.array(home), pa.array(tab.astype(np.int32)), pa.array(cell), pa.array(blob, pa.binary()), pa.array(data, pa.binary()))
-                    yield pa.RecordBatch.from_arrays(list(cols), names=[x.split()[0] for x in ROW.split(", ")])
+                        keys = (cells.reshape(len(own), -1) * 31 + tab) * 1_000_003 + grp[own][:, None] * 65_599
+                    each = pa.array(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1])
+                    blobs = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (cells, unit)]
+                    cols = [pa.array(rep[own]), pa.array(grp[own]), pa.array(copies[own]), *blobs, pa.ListArray.from_arrays(each, pa.array(keys.ravel()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in HASHED.split(", ")])
 
     return emit
 
@@ -124,7 +123,7 @@ def _compare(cols: dict[str, np.ndarray], threshold: float, shape: tuple[int, in
     n = len(cols["rep"])
     if n < 2:
         return None
-    home, copies, rep, grp = cols["home"] > 0, cols["copies"], cols["rep"], cols["grp"]
+    home, copies, rep, grp = cols["at"] % shape[1] == 0, cols["copies"], cols["rep"], cols["grp"]
     sizes = {len(v) for v in cols["vec"]}
     if len(sizes) > 1 or len(set(grp.tolist())) > 1:  # two keys that hash alike
         parts = [_compare({k: v[own] for k, v in cols.items()}, threshold, shape, None if sides is None else sides[own]) for g in {*zip(grp.tolist(), map(len, cols["vec"]), strict=True)} if len(own := np.array([i for i in range(n) if (grp[i], len(cols["vec"][i])) == g]))]
@@ -132,6 +131,8 @@ def _compare(cols: dict[str, np.ndarray], threshold: float, shape: tuple[int, in
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
     x = np.frombuffer(b"".join(cols["vec"]), np.float64).reshape(n, -1)
     cells = np.frombuffer(b"".join(cols["cells"]), np.int64).reshape(n, *shape)
+    tab, nth = divmod(int(cols["at"][0]), shape[1])
+    cell = int(cells[0, tab, nth])
     left, right = [], []
     for k in range(0, n, 512):
         cos = x[k : k + 512] @ x.T
@@ -143,7 +144,7 @@ def _compare(cols: dict[str, np.ndarray], threshold: float, shape: tuple[int, in
         i, j = i[ok], j[ok]
         for s in range(0, len(i), 1 << 16):
             a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            once = _met_first(cells, a, b, int(cols["tab"][0]), int(cols["cell"][0]))
+            once = _met_first(cells, a, b, tab, cell)
             left.append(a[once])
             right.append(b[once])
     a, b = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
@@ -168,7 +169,7 @@ def _bucketer(threshold: float, shape: tuple[int, int], most: int | None) -> Cal
     """Compare each bucket of rows sorted by key. Buckets of over ``most`` rows are passed on as they are."""
     names = [x.split()[0] for x in ROW.split(", ")]
     full = [x.split()[0] for x in FOUND.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64()] * 3 + [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
 
     def found(r: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         n = len(r[0])
@@ -222,8 +223,13 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, tables: int = TABL
 
     A vector may have several rows; their ``n`` add up.
     """
-    rows = map_arrow(vectors.select("grp", "rep", "copies", "vec"), _hasher(tables, probes, scale, seed), ROW)
+    hashed = materialize(map_arrow(vectors.select("grp", "rep", "copies", "vec"), _hasher(tables, probes, scale, seed), HASHED), "lattice-cells")
     shape = (tables, 1 + probes)
+    slim = hashed.select("rep", F.posexplode("keys").alias("at", "key"))
+    home = F.max(F.when(F.col("at") % (1 + probes) == 0, 1).otherwise(0))
+    several = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), home.alias("home")).filter("n > 1 and home = 1").select("key")
+    met = slim.join(several, "key")
+    rows = met.join(hashed.drop("keys"), "rep").select(*[x.split()[0] for x in ROW.split(", ")])
     found = materialize(map_arrow(rows.repartition("key").sortWithinPartitions("key"), _bucketer(threshold, shape, most), FOUND), "lattice")
     links, large = found.filter("a is not null").select("a", "b", "n"), found.filter("a is null").drop("a", "b", "n")
     if large.isEmpty():
