@@ -4,8 +4,9 @@ The pieces of a model and their scores make a lattice over a text; a segmentatio
 Viterbi pass gives the best score of each prefix. That is an exact heuristic for an A* search that walks backward from the end, so
 the search takes complete segmentations off its queue in the order of their scores, best first.
 
-No piece has a word mark after its first other character or spans letters and others (a model is checked for that), so the lattice
-falls apart into units that start with their word marks.
+Where no piece has a word mark after its first other character, spans letters and others, or holds a line break, the lattice falls
+apart into units that start with their word marks; a model is checked for the finest cut that none of its pieces crosses, and one
+that has none is searched over whole texts. Texts are normalised as the model's file says.
 Units are remembered by worker. Of a whole text, the n best segmentations change only units among those n - 1 occurrences whose
 second-best segmentation costs least; the A* search runs on these, and sums of their losses give the text's order.
 """
@@ -33,18 +34,58 @@ REMEMBERED = 400_000
 #: Where a text may be cut into units: before word marks, and between letters and others if no piece spans that.
 COARSE = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 FINE = re.compile(f"\n|{MARK}*[A-Za-zÀ-ɏ]+|{MARK}*[^{MARK}\nA-Za-zÀ-ɏ]+|{MARK}+")
+LINES = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
+WHOLE = re.compile("(?s).+")
+
+
+def plain_normaliser(proto: bytes) -> bool:
+    """Whether a model's file asks for no more than a word mark first and word marks for spaces: the fields of its NormalizerSpec."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                byte = data[at]
+                at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+                if byte < 128:
+                    return out
+
+        while at < len(data):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+            elif key & 7 == 2:
+                n = number()
+                yield key >> 3, data[at : at + n]
+                at += n
+            else:
+                n = 4 if key & 7 == 5 else 8
+                yield key >> 3, data[at : at + n]
+                at += n
+
+    # NormalizerSpec is field 3; in it 2 is the character map, 3 to 5 are the prefix, extra spaces and escapes.
+    spec = dict(fields(next((v for k, v in fields(proto) if k == 3), b"")))
+    return not spec.get(2) and spec.get(3, 1) == 1 and spec.get(4, 1) == 0 and spec.get(5, 1) == 1
 
 
 class PieceModel:
     """Pieces and scores of a model file. Pieces for bytes stand in for characters that no piece has, at less than the least score."""
 
-    def __init__(self, path: str | None = None, pieces: dict[str, tuple[int, int]] | None = None, byte_ids: list[int] | None = None) -> None:
+    def __init__(self, path: str | None = None, pieces: dict[str, tuple[int, float]] | None = None, byte_ids: list[int] | None = None) -> None:
+        self.normalise = None
         if pieces is None:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             plain = [i for i in range(len(model)) if not (model.is_control(i) or model.is_byte(i) or model.is_unused(i) or model.is_unknown(i))]
-            pieces = {model.id_to_piece(i): (i, round(model.get_score(i))) for i in plain}
+            scores = [model.get_score(i) for i in plain]
+            scores = list(map(int, scores)) if all(x.is_integer() for x in scores) else scores  # ranks stay whole numbers
+            pieces = {model.id_to_piece(i): (i, x) for i, x in zip(plain, scores, strict=True)}
+            if not plain_normaliser(model.serialized_model_proto()):
+                self.normalise = model.normalize
             byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has a word mark inside")
@@ -62,10 +103,11 @@ class PieceModel:
         self.n_best = functools.lru_cache(20_000)(self.search)
         # a piece, or None for what only starts one
         self.table = dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p) + 1)) | pieces
-        self.units = next(cut for cut in (FINE, COARSE) if all(len(cut.findall(p)) == 1 for p in pieces if "\n" not in p))
+        # whether two neighbouring characters are cut depends on them alone, so a piece that is whole by itself is so everywhere
+        self.units = next(cut for cut in (FINE, COARSE, LINES, WHOLE) if all(cut.findall(p) == [p] for p in pieces))
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
-    def lattice(self, unit: str) -> list[tuple[int, int, int, int | tuple[int, ...]]]:
+    def lattice(self, unit: str) -> list[tuple[int, int, float, int | tuple[int, ...]]]:
         """The pieces of the lattice, by start: (start, end, score, id), with all ids where bytes stand in for a character."""
         edges, get, n = [], self.table.get, len(unit)
         for i in range(n):
@@ -158,7 +200,9 @@ class PieceModel:
         return found
 
     def units_of(self, text: str) -> list[str]:
-        """Units of a text: word marks for spaces, one more first; line breaks by themselves."""
+        """Units of a text, normalised: word marks for spaces, one more first."""
+        if text and self.normalise is not None:
+            return self.units.findall(self.normalise(text))
         return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def decode(self, ids: list[int]) -> str:
@@ -193,7 +237,7 @@ class Encoder(dict):
         total = sum(scores)
         out = [(total, b"".join(parts))]
         if n > 1:
-            few = self._least(np.array(losses, np.int64), n - 1) if len(losses) > n else np.argsort(losses, kind="stable")[: n - 1]
+            few = self._least(np.array(losses, np.float64), n - 1) if len(losses) > n else np.argsort(losses, kind="stable")[: n - 1]
             lists = [(int(p), self.model.n_best(units[p], n)) for p in few if losses[p] < NONE]
             sums: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
             for at, found in lists:
@@ -224,7 +268,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(PieceModel(path))
 
 
-ENCODED = "id long, n_pieces long, scores array<long>, ids_crc32 array<long>, text_crc32 long, decoded_crc32 long"
+ENCODED = "id long, n_pieces long, scores array<double>, ids_crc32 array<long>, text_crc32 long, decoded_crc32 long"
 
 
 def _encoder(path: str, n: int, keep_ids: bool) -> Callable:
@@ -239,7 +283,7 @@ def _encoder(path: str, n: int, keep_ids: bool) -> Callable:
                     again = own.model.decode(ids.tolist())
                     row = (len(ids), [s for s, _ in found], [zlib.crc32(x) for _, x in found], zlib.crc32(text.encode()), zlib.crc32(again.encode()))
                     rows.append((*row, [np.frombuffer(x, "<u4").astype(np.int32).tolist() for _, x in found]) if keep_ids else row)
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()] + [pa.list_(pa.list_(pa.int32()))] * keep_ids
+                kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.int64()] + [pa.list_(pa.list_(pa.int32()))] * keep_ids
                 names = [x.split()[0] for x in ENCODED.split(", ")] + ["ids"] * keep_ids
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
@@ -250,7 +294,7 @@ def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """The ``n`` best segmentations of every whole text, best first, and the best one decoded again.
 
     Returns id, ``n_pieces`` of the best, ``scores``, ``ids_crc32`` (of little-endian unsigned 32-bit ids), ``text_crc32`` and
-    ``decoded_crc32`` (equal, unless the text holds the word mark itself, which decodes to a space); with ``keep_ids`` also ``ids``,
+    ``decoded_crc32`` (equal, unless the text holds the word mark itself, which decodes to a space, or the model normalises); with ``keep_ids`` also ``ids``,
     array<array<int>>. Texts with fewer segmentations give shorter lists. Null and empty texts have one, without pieces, of score 0.
     Repeated rows each get a row, null ids are kept, other columns are not read.
     """
