@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ ORDER = 3
 BASE = 257
 #: Contexts that all languages together saw fewer times are left out, shorter ones code instead.
 MIN_CONTEXT = 4
+#: Bytes that the table of code lengths may take; with more languages or symbols only more frequent contexts are kept, so that it fits.
+MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
 
 
@@ -105,8 +108,9 @@ def fit(rows: DataFrame, max_docs: int = 1000, max_chars: int = 4_000_000, least
     return compile_model({lang: (grams[langs == lang], n[langs == lang]) for lang in sorted(stats)})
 
 
-def compile_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
-    """Code lengths in bits for every kept context and next byte, per language."""
+def compile_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT, model_bytes: int = MODEL_BYTES) -> PpmModel:
+    """Code lengths in bits for every kept context and next byte, per language; contexts seen ``min_context`` times are kept, or twice,
+    four times and so on as many if the table would take more than ``model_bytes``."""
     langs = sorted(counts)
     if not langs:
         return PpmModel([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
@@ -119,6 +123,14 @@ def compile_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
     column[seen] = np.arange(len(seen))
     cols = [column[grams // BASE**k % BASE] for k in range(ORDER, -1, -1)]
     nxt = cols[-1]
+    seen_by_order = []
+    for order in range(1, ORDER + 1):
+        code = np.zeros(len(grams), np.int64)
+        for c in cols[ORDER - order : ORDER]:
+            code = code * width + c
+        seen_by_order.append(np.bincount(np.unique(code, return_inverse=True)[1], n))
+    while min_context < 1 << 40 and (1 + sum(int((x >= min_context).sum()) for x in seen_by_order)) * width * len(langs) * 4 > model_bytes:
+        min_context *= 2
     bits = np.full((1, width, len(langs)), np.log2(BASE), np.float32)
     contexts = np.zeros(1, np.int64)
     tables = []
@@ -128,7 +140,7 @@ def compile_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
             code = code * width + c
         if order:
             values, place = np.unique(code, return_inverse=True)
-            kept = np.bincount(place, n) >= MIN_CONTEXT
+            kept = np.bincount(place, n) >= min_context
             if order > 1:  # a context is kept only if the next shorter one is
                 kept &= np.isin(values % width ** (order - 1), contexts)
             place, use = (np.cumsum(kept) - 1)[place], kept[place]
@@ -174,7 +186,7 @@ def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
     w = model.width
     c = np.concatenate([[0], model.symbol]).astype(np.int32)[s]
     context = (c[:-3] * w + c[1:-2]) * w + c[2:-1]
-    at = model.state[context] * np.int32(w) + c[3:]
+    at = model.state[context].astype(np.int64) * w + c[3:]
     ends = starts[1:] - ORDER  # in the shifted coordinates a text's own bytes end here
     for first in range(0, len(texts), 512):
         lo, hi = int(starts[first]), int(ends[min(first + 512, len(texts)) - 1])
@@ -188,8 +200,9 @@ def code_lengths(model: PpmModel, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _predictor(model: PpmModel, keep_text: bool) -> Callable:
+def _predictor(shared: Broadcast[PpmModel], keep_text: bool) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = _texts(part, "text")
@@ -213,7 +226,8 @@ def predict(rows: DataFrame, model: PpmModel, keep_text: bool = False) -> DataFr
     """``rows`` with ``lang_pred`` and ``score``, the posterior of the best language from code lengths alone; ``text`` goes unless kept."""
     fields = [f for f in rows.schema if keep_text or f.name != "text"]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_arrow(rows, _predictor(model, keep_text), schema)
+    # the model's size is bounded by MODEL_BYTES and the states of three symbols; each executor gets it once
+    return map_arrow(rows, _predictor(rows.sparkSession.sparkContext.broadcast(model), keep_text), schema)
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, max_docs: int = 1000, min_score: float = 0.5) -> DataFrame:
