@@ -28,7 +28,6 @@ REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 DATE = b"2024-01-01T00:00:00Z"
 BLOCK = 1 << 20
 
-MANIFEST = "archive string, records long, bytes long"
 RECORD = "archive string, ordinal long, page_id long, payload_bytes long, payload_digest string"
 INDEX = "archive string, offset long, length long, page_id long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
