@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _shared, hamming, langid, ngrams, pieces, warc
-from weftgraph.llm.extract import blocks_of, extract_text, unique_runs
+from weftgraph.llm.extract import blocks_of, boilerplate, covered_tokens, extract_text, unique_runs
 from weftgraph.llm.secrets import mask_secrets, scan_secrets
 
 # secrets
@@ -156,6 +156,15 @@ def test_code_lengths_equal_the_definition():
         assert row == pytest.approx([want[x] for x in model.langs], abs=1e-3), text
 
 
+def test_large_models_are_pruned_to_fit():
+    rng = np.random.default_rng(3)
+    counts = {f"l{i}": (rng.integers(0, 40, 4000) * langid.BASE**3 + rng.integers(1, 40, 4000) * langid.BASE**2 + rng.integers(1, 40, 4000) * langid.BASE + rng.integers(1, 40, 4000), rng.integers(1, 30, 4000)) for i in range(3)}
+    whole, small = langid.compile_model(counts), langid.compile_model(counts, model_bytes=200_000)
+    assert small.bits.nbytes <= 200_000 < whole.bits.nbytes and len(small.bits) % small.width == 0
+    text = langid._texts(pa.RecordBatch.from_arrays([pa.array(["abc"])], names=["t"]), "t")
+    assert np.isfinite(langid.code_lengths(small, text)).all()
+
+
 def test_languages(spark):
     rng = random.Random(8)
     words = {"en": "the of and to in that with river house".split(), "fr": "le la été où garçon maison être dans".split()}
@@ -310,13 +319,36 @@ def test_small_model():
         pieces.PieceModel(pieces={"a▁b": (0, 0)}, byte_ids=[])
 
 
+def test_models_with_line_breaks_and_real_scores():
+    letters = {"▁": (0, -1.25), "a": (1, -2.5), "b": (2, -2.125), "1": (3, -3.0)}
+    for more, cut in (({"\n": (4, -1.0)}, pieces.FINE), ({"\n": (4, -1.0), "a1": (5, -2.0)}, pieces.COARSE), ({"\n": (4, -1.0), "\n\n": (5, -1.5)}, pieces.LINES), ({"\n": (4, -1.0), "a\n": (5, -2.75), "\n\n": (6, -1.5)}, pieces.WHOLE)):
+        model = pieces.PieceModel(pieces=letters | more, byte_ids=list(range(10, 266)))
+        assert model.units is cut
+        encoder, rng = pieces.Encoder(model), random.Random(4)
+        for _ in range(60):
+            text = "".join(rng.choice("ab1\n\n ") for _ in range(rng.randint(1, 7)))
+            every = plain_segmentations(model, pieces.MARK + text.replace(" ", pieces.MARK))
+            got = encoder.n_best(text, 5)
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:5]])
+            assert model.decode(np.frombuffer(got[0][1], "<u4").tolist()) == text
+    assert encoder.n_best("\n\n", 1)[0] == (-2.75, np.array([0, 6], "<u4").tobytes())
+
+
+def test_normalisers(model_path):
+    model = pieces.PieceModel(model_path)
+    assert model.normalise is None
+    assert not pieces.plain_normaliser(b"\x1a\x02\x20\x01") and not pieces.plain_normaliser(b"\x1a\x05\x12\x01x\x20\x00") and pieces.plain_normaliser(b"\x1a\x02\x20\x00")
+    model.normalise = lambda t: pieces.MARK + t.lower().replace(" ", pieces.MARK)
+    assert model.units_of("The") == ["▁the"]
+
+
 def test_pieces_of_documents(spark, model_path, monkeypatch):
     rows = [(1, "Hello  world\n\nfoo ", 1), (2, None, 1), (3, "", 1), (4, "thetion ining " * 3000, 1), (4, "again", 1), (None, "日本 ▁ mark", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, scores int")
     got = {(r["doc_id"], r["n_pieces"]): r for r in pieces.encode_pieces(df, model_path, keep_ids=True).collect()}
     assert len(got) == len(rows)
     assert all((r["text_crc32"] == r["decoded_crc32"]) == (d is not None) for (d, _), r in got.items())
-    assert next(r for (d, n), r in got.items() if d == 2)["scores"] == [0]
+    assert next(r for (d, n), r in got.items() if d == 2)["scores"] == [0.0]
     assert all(r["scores"] == sorted(r["scores"], reverse=True) for r in got.values())
     back = pieces.decode_pieces(pieces.encode_pieces(df, model_path, keep_ids=True).select("doc_id", F.col("ids")[0].alias("ids")), model_path)
     assert sorted(str(r["text"]) for r in back.collect()) == sorted((t or "").replace("▁", " ") for _, t, _ in rows)
@@ -384,6 +416,7 @@ def test_blocks():
     assert [t for z, t in blocks_of('<div hidden>x</div><p title="a>b">y</p><!-- <p>no</p> --><p>z') if z] == ["y", "z"]
     assert blocks_of("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == [(3, "deep")]
     assert blocks_of('<main><h1>m</h1><article>a</article></main><div role="main">r</div><div class="x entry-content">c</div><div itemprop="articleBody">b</div>') == [(2, "m"), (3, "a"), (2, "r"), (2, "c"), (3, "b")]
+    assert blocks_of('<div class="banner-story">x<article>y<nav>n</nav></article></div>') == [(-1, "x"), (3, "y"), (0, "n")]
 
 
 def test_values_are_not_names():
@@ -409,9 +442,75 @@ def test_host_boilerplate(spark):
     assert by[5]["text"] == by[6]["text"] == "" and by[5]["url"] is None
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     marked = spark.createDataFrame([(1, "http://h/1", "<p>out</p><main><p>teaser</p><article>text</article></main>"), (2, "http://h/2", "<p>out</p><main><p>text</p></main>")], "page_id long, url string, html string")
-    assert {r["text"] for r in extract_text(marked).collect()} == {"text"}
+    assert {r["page_id"]: r["text"] for r in extract_text(marked).collect()} == {1: "teaser\ntext", 2: "text"}
     assert extract_text(df.limit(0)).count() == 0
-    assert unique_runs([(1, "a b c d"), (0, "x y"), (1, "c d e")], {1}, 3) == "a\nc d e"
+    gone = np.array([False, True, True, True, False, False, False, False, False])
+    assert unique_runs([(1, "a b c d"), (0, "x y"), (1, "c d e")], gone, 3) == "a\nc d e"
+    assert unique_runs([(1, "a b c d"), (3, "in"), (0, "x y"), (1, "c d e")], gone, 3) == "in\nc d e"
+
+
+def test_main_parts_lose_nothing_to_articles_within(spark):
+    lead = "<main><p>Lead of the page..</p><article class='teaser'>Other story</article><p>Rest of it..</p></main>"
+    named = "<article><p>one</p><div class='banner-story'>A story on banners</div><div id='ad-top'>buy</div><div class='sidebar-2'>side</div></article>"
+    beside = "<div><p>By line</p><p>This lead outside of the article has more than eight words in it</p></div><article>in</article>"
+    rows = [(1, "http://h/1", lead), (2, "http://h/2", named), (3, "http://h/3", beside)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Lead of the page..\nOther story\nRest of it.."
+    assert got[2] == "one\nA story on banners"
+    assert got[3] == "This lead outside of the article has more than eight words in it\nin"
+
+
+def test_repeats_equal_the_plain_definition(spark):
+    """Against brute force over random streams: which tokens lie in a substring that enough distinct contents of the host share."""
+    rng = random.Random(12)
+    run, long = 3, 7
+    streams = []
+    for host in ("a", "b"):
+        shared = [[rng.choice("abcdef") for _ in range(rng.randint(3, 12))] for _ in range(4)]
+        for _ in range(14):
+            tokens = []
+            for _ in range(rng.randint(0, 5)):
+                tokens += rng.choice(shared) if rng.random() < 0.6 else [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 4))]
+            streams.append((len(streams), host, rng.choice([1, 1, 2]), tokens))
+    df = spark.createDataFrame([(i, h, n, " ".join(t)) for i, h, n, t in streams], "id long, host string, n long, outside string")
+    got = {r["id"]: r for r in boilerplate(df, run, long).collect()}
+    for i, host, _, tokens in streams:
+        pages = lambda s: sum(n for _, h, n, t in streams if h == host and any(t[k : k + len(s)] == s for k in range(len(t) - len(s) + 1)))
+        contents = sum(n for _, h, n, _ in streams if h == host)
+        every = [(a, b, pages(tokens[a:b])) for a in range(len(tokens)) for b in range(a + run, len(tokens) + 1)]  # all substrings, of any length
+        passage, strong = np.zeros(len(tokens), bool), np.zeros(len(tokens), bool)
+        for a, b, p in every:
+            passage[a:b] |= p > 1 and b - a >= long
+            strong[a:b] |= p > 1 and 3 * p >= contents
+        weak = np.zeros(len(tokens), bool)
+        for a, b, p in every:
+            if p > 2 and b - a == run and not passage[a:b].all():
+                weak[a:b] = True
+        r = got.get(i)
+        mine = covered_tokens(len(tokens), *((r["runs"], r["strong"], r["long"]) if r else ([], [], [])), run, long)
+        assert mine.tolist() == (strong | weak).tolist(), (i, tokens)
+
+
+def test_passages_stay_and_boilerplate_goes_without_articles(spark):
+    bar = "share this page with your friends on all networks now"
+    passage = " ".join(f"quoted{k}" for k in range(60))
+    own = [" ".join(f"p{i}w{k}" for k in range(30)) for i in range(20)]
+    page = lambda body: f"<body><div><p>{bar}</p></div><div>{body}</div></body>"
+    rows = [(i, f"http://h/{i}", page(f"<p>{t}</p>" + (f"<p>{passage}</p>" if i < 4 else ""))) for i, t in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own[i] + (f"\n{passage}" if i < 4 else "") for i in range(20)}
+
+
+def test_blocks_repeated_in_articles(spark):
+    """A block of every article between different neighbours goes; one of a host of near copies stays, and so does a shared passage."""
+    note = "Subscribe to our newsletter"
+    words = lambda i: " ".join(f"a{i}b{k}" for k in range(12))
+    rows = [(i, f"http://h/{i}", f"<article><h1>{words(i)}</h1><p>{note}</p><p>{words(100 + i)}</p><p>{'same passage' if i < 6 else words(200 + i)}</p></article>") for i in range(10)]
+    rows += [(50 + i, f"http://copies/{i}", f"<article><h1>t</h1><p>{note}</p><p>body</p><p>{words(i)}</p></article>") for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == "\n".join([words(i), words(100 + i), "same passage" if i < 6 else words(200 + i)])
+        assert got[50 + i] == f"t\n{note}\nbody\n{words(i)}"
 
 
 def test_copied_pages_keep_their_text(spark):
@@ -461,6 +560,20 @@ def test_top_k_with_repeated_rows(spark):
     assert got == want
 
 
+def test_top_k_in_a_dense_cluster(spark):
+    """Ties by thousands: the nearest by distance and id, whatever order they come in."""
+    rng = random.Random(13)
+    codes = list(dict.fromkeys((1 << 40) | 1 << rng.randrange(40) | 1 << rng.randrange(40) for _ in range(500)))
+    rows = [(i * 7919 % 10007, c) for i, c in enumerate(codes)] + [(50_000, codes[3])] + [(60_000 + i, codes[5]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    got = sorted(map(tuple, hamming.top_k(df, "code", "vec_id", F.col("vec_id") % 50 == 0, 10).collect()))
+    want = []
+    for q, c in rows:
+        if q % 50 == 0:
+            want += [(q, r + 1, j, d) for r, (d, j) in enumerate(sorted((bin(c ^ e).count("1"), j) for j, e in rows if j != q)[:10])]
+    assert got == sorted(want)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, code long")
     assert hamming.top_k(df, "code", "vec_id", F.col("vec_id") % 50 == 0).count() == 0
