@@ -44,11 +44,15 @@ class Graph:
         graph.path = path
         return graph
 
+    def structure(self, kind: str, *ids: Any) -> DataFrame:
+        """The vertices (``V``) or edges (``E``) with these ids, all if none are given."""
+        return getattr(self.traversal(), kind)(*ids).df()
+
     def reload(self) -> Graph:
         """Read the configuration again."""
         if self.path is None:
             raise ValueError("this graph was not opened from a path")
-        fresh = Graph.open(self.spark, self.path)
+        fresh = Graph.open(self.spark, self.path, traversal_filter=self.traversal_filter, max_depth=self.max_depth)
         self.vertices, self.edges = fresh.vertices, fresh.edges
         self.__dict__.pop("labels", None)
         return self

@@ -168,10 +168,14 @@ class Branch(Base):
         ``times`` unrolls. With ``until`` the driver goes level by level, cuts the plan every few levels, and stops when no traverser
         is left; where labels alone decide, no job is needed for that.
         """
-        body = step.args[-1].steps
+        body, name = step.args[-1].steps, step.args[0] if isinstance(step.args[0], str) else None
+
+        def at(f: Frame, n: int) -> Frame:
+            return replace(f, loops=n, counters={**frame.counters, name: n} if name else frame.counters)
+
         times, until, emit = step.mod("times"), step.mod("until"), step.mod("emit")
         out: list[Frame] = []
-        cur = replace(frame, loops=0)
+        cur = at(frame, 0)
         limit = times[0][0] if times else self.graph.max_depth or DEEPEST
         level = 0
 
@@ -192,7 +196,7 @@ class Branch(Base):
                 elif not times:
                     raise RecursionError(f"the loop goes on after {limit} levels; set max_depth or times")
                 break
-            cur = replace(self.run_steps(cur, body), loops=level + 1)
+            cur = at(self.run_steps(cur, body), level + 1)
             level += 1
             if cur.empty:
                 break
@@ -206,7 +210,24 @@ class Branch(Base):
                     break
                 if level % 4 == 0:
                     cur = replace(cur.narrow(), df=cut(cur.narrow().df))
-        return replace(self.union([f.narrow() for f in out], cur), loops=0)
+        return replace(self.union([f.narrow() for f in out], cur), loops=frame.loops, counters=frame.counters)
+
+    def branch(self, frame: Frame, step: Any) -> Frame:
+        """``branch(t).option(value, ..)``: each traverser goes down every option that its value meets, and down those for ``any``; those
+        that meet none go down ``none``, or end here."""
+        frame, column, kind = self.by_column(frame, frame.cur, (step.args[0],))
+        name = fresh("choice")
+        frame = replace(frame, df=frame.df.withColumn(name, column), extra=(*frame.extra, name))
+        taken, met = [], F.lit(False)
+        options = [args if len(args) == 2 else ("none", args[0]) for n, args, _ in step.mods if n == "option"]
+        for value, t in options:
+            if value in ("none", "any"):
+                continue
+            mine = F.coalesce(predicate(value).column(F.col(name), kind), F.lit(False))
+            taken.append(self.run_steps(frame.filter(mine), t.steps))
+            met = met | mine
+        taken += [self.run_steps(frame if value == "any" else frame.filter(~met), t.steps) for value, t in options if value in ("none", "any")]
+        return self.union([f.narrow() for f in taken], frame)
 
     def exhausted(self, frame: Frame, level: int) -> bool:
         return frame.empty or level > 0 and frame.df.isEmpty()

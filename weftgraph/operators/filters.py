@@ -92,7 +92,7 @@ class Filters(Base):
         bare = lambda s: s.bare() if isinstance(s, Vertex) else s
         if isinstance(shape, Edge):
             shape, df, own = self._whole_edge(frame, shape, df, own, distinct)
-        child = Frame(df, bare(shape), {k: bare(s) for k, s in tags.items()}, scope=tuple(own.values()), sack=None, empty=frame.empty, bags=frame.bags)
+        child = Frame(df, bare(shape), {k: bare(s) for k, s in tags.items()}, scope=tuple(own.values()), sack=None, empty=frame.empty, bags=frame.bags, loops=frame.loops, counters=frame.counters)
         return child, list(own.items())
 
     def _whole_edge(self, frame: Frame, e: Edge, df: Any, own: dict[str, str], distinct: bool) -> tuple:
@@ -113,7 +113,7 @@ class Filters(Base):
             if child is None:
                 return None
             child, near, rest = child
-            out = self.run_steps(replace(child, scope=tuple(near.identity())), rest)
+            out = self.run_steps(replace(child, scope=tuple(near.identity()), loops=frame.loops, counters=frame.counters), rest)
             if out.empty:
                 return None
             both_long = cur.key_type == near.key_type
@@ -182,9 +182,13 @@ class Filters(Base):
     def as_condition(self, frame: Frame, steps: tuple) -> Column | None:
         """Nested steps that only test the current object, as one condition; None if they do more."""
         parts = []
+        value: tuple[Column, T.DataType] | None = None  # what a step before gave in place of the current object
         for s in steps:
-            if s.labels or s.name not in (*HAS, "hasNot", "is", "and", "or", "not", "identity"):
+            if s.labels or s.name not in (*HAS, "hasNot", "is", "and", "or", "not", "identity", "loops") or value is not None and s.name != "is":
                 return None
+            if s.name == "loops":
+                value = F.lit(self.loops_of(frame, s.args)), T.IntegerType()
+                continue
             if s.name in ("and", "or", "not"):
                 own = [self.as_condition(frame, t.steps) if hasattr(t, "steps") else None for t in s.args]
                 if any(c is None for c in own):
@@ -193,7 +197,7 @@ class Filters(Base):
                 continue
             cur = frame.cur
             if s.name == "is":
-                parts.append(predicate(s.args[0]).column(self.shown(cur), self.kind_of(frame, cur)))
+                parts.append(predicate(s.args[0]).column(*(value or (self.shown(cur), self.kind_of(frame, cur)))))
                 continue
             if not isinstance(cur, (Vertex, Edge)) or isinstance(cur, Vertex) and cur.props is None and any(k not in (ID, LABEL) for k, _ in self.folded(s) or [("?", None)]):
                 return None
@@ -270,7 +274,7 @@ class Filters(Base):
     # duplicates and windows
 
     def dedup(self, frame: Frame, names: tuple, bys: tuple) -> Frame:
-        """One row for each different object, labelled objects or ``by`` values (within each outer traverser)."""
+        """One row for each different object, labelled objects or ``by`` values (within each outer traverser): after ``order`` the first."""
         shapes = [frame.tags[n] for n in names] or [frame.cur]
         columns = list(frame.scope)
         for i, shape in enumerate(shapes):
@@ -281,8 +285,16 @@ class Filters(Base):
                 columns.append(name)
             else:
                 columns += shape.identity()
+        if frame.order:  # ranks are taken within each task first, so a frequent value is no large group
+            n = fresh("n")
+            first = F.row_number().over(Window.partitionBy(*columns).orderBy(*self.sorting(frame)))
+            return replace(frame, df=frame.df.withColumn(n, first).filter(F.col(n) <= 1).drop(n))
         return replace(frame, df=frame.df.dropDuplicates(columns))
 
+    def loops_of(self, frame: Frame, args: tuple) -> int:
+        """How often the loop around has run, or the one of a name."""
+        return frame.counters.get(args[0], 0) if args else frame.loops
+
     def order(self, frame: Frame, bys: tuple) -> Frame:
         order = []
         for by in bys or ((),):
@@ -316,6 +328,7 @@ class Filters(Base):
         return replace(frame, df=df.limit(max(0, high - low)) if high >= 0 else df)
 
     def tail(self, frame: Frame, n: int) -> Frame:
+        """The last ``n`` in the order so far. Without ``order`` rows have none, and any ``n`` are given."""
         back = replace(frame, order=tuple((c, "asc" if d == "desc" else "desc") for c, d in frame.order))
         return replace(self.range(back, 0, n), order=frame.order)
 

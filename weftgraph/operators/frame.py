@@ -132,6 +132,7 @@ class Frame:
     sack: str | None = None
     empty: bool = False
     bags: dict[str, Frame] = field(default_factory=dict)
+    counters: dict[str, int] = field(default_factory=dict)  # of named loops
 
     def live(self) -> list[str]:
         """The columns that later steps may read."""
@@ -410,7 +411,7 @@ class Base:
                 columns = [c + [F.col(getattr(f, x)).alias(kept[x])] for f, c in zip(frames, columns, strict=True)]
         df = reduce(DataFrame.unionByName, [f.df.select(*c) for f, c in zip(frames, columns, strict=True)])
         bags = {k: v for f in frames for k, v in f.bags.items()}
-        return Frame(df, cur, tags, first.scope, first.extra, kept.get("path"), kept.get("trail"), (), max(f.loops for f in frames), kept.get("sack"), False, bags)
+        return Frame(df, cur, tags, first.scope, first.extra, kept.get("path"), kept.get("trail"), (), max(f.loops for f in frames), kept.get("sack"), False, bags, first.counters)
 
 
 __all__ = ["ID", "LABEL", "Base", "Edge", "Fields", "Foreign", "Frame", "Pairs", "Shape", "Value", "Vertex", "as_kind", "common", "fresh"]

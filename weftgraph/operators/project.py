@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.functions.predicates import NUMERIC
 from weftgraph.functions.scalars import SCALARS, math_column, math_names
 from weftgraph.operators.frame import Base, Edge, Fields, Frame, Pairs, Shape, Value, Vertex, as_kind, common, fresh
 from weftgraph.sources.mapping import ID, LABEL
@@ -95,15 +96,18 @@ class Project(Base):
         return replace(frame, df=df, cur=Fields({"key": Value(key, STRING), "value": Value(value, kind)}))
 
     def map_of(self, frame: Frame, keys: tuple, tokens: bool, lists: bool) -> Frame:
-        """``valueMap`` (values in lists) and ``elementMap`` (with id and label): a map with text values, entries that are there only."""
+        """``valueMap`` (values in lists) and ``elementMap`` (with id and label): a map of the entries that are there. Values keep their
+        type where all have one (or are numbers, which have one in common); a map of different types, or with id and label, has text."""
         frame = self.hydrated(frame)
         cur = frame.cur
         entries = [(k, F.col(c), cur.kinds[k]) for k, c in cur.props.items() if not keys or k in keys]
         if tokens:
             entries = [("id", F.col(cur.key if isinstance(cur, Vertex) else cur.id), None), ("label", F.col(cur.label), STRING), *entries]
 
+        want = STRING if tokens else common(k for _, _, k in entries)
+
         def text(c: Column, k: T.DataType | None) -> Column:
-            return as_kind(c, k, STRING) if isinstance(k, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+            return as_kind(c, k, want) if k is not None and (want != STRING or isinstance(k, (T.ArrayType, T.MapType, T.StructType))) else c.cast(want)
 
         made = F.array(*[F.struct(F.lit(n), (F.array(text(c, k)) if lists else text(c, k)).alias("v")) for n, c, k in entries])
         keep = (lambda x: x["v"][0].isNotNull()) if lists else (lambda x: x["v"].isNotNull())
@@ -112,6 +116,8 @@ class Project(Base):
     def scalar(self, frame: Frame, name: str, args: tuple) -> Frame:
         """A scalar step; rows without a result go."""
         column = self.shown(frame.cur)
+        if name == "asNumber" and isinstance(self.kind_of(frame, frame.cur), NUMERIC):
+            return frame  # whole numbers stay whole
         given = []
         for a in args:
             if hasattr(a, "steps"):
@@ -159,7 +165,7 @@ class Project(Base):
             elif s.name == "sack":
                 column, kind = F.col(frame.sack), None
             elif s.name == "loops":
-                column, kind = F.lit(frame.loops), T.IntegerType()
+                column, kind = F.lit(self.loops_of(frame, s.args)), T.IntegerType()
             elif s.name in ("key", "value"):
                 frame, _, column, kind = self.property_of(frame, shape, s.args[0] if s.args else s.name)
             elif s.name == "select" and len(s.args) == 1:
@@ -171,6 +177,8 @@ class Project(Base):
             elif s.name == "math":
                 frame, column = self.math_of(frame, shape, s)
                 kind = T.DoubleType()
+            elif s.name == "asNumber" and isinstance(kind if column is not None else self.kind_of(frame, shape), NUMERIC):
+                column = self.shown(shape) if column is None else column
             else:
                 column, kind = SCALARS[s.name](self.shown(shape) if column is None else column, *s.args), None
         if column is None:

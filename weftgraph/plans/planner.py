@@ -63,8 +63,6 @@ class Planner(Branch, Reduce, Filters, Project, Navigate):
             if step.name in HOPS or step.name in ENDS or step.name in ("V", "E"):
                 taken, folded = self.fold_ahead(steps, at)
                 frame = self.move(frame, step, folded)
-            elif step.name == "fold" and not step.args and at + 1 < len(steps) and steps[at + 1].name == "count" and steps[at + 1].args == (LOCAL,):
-                frame, taken = self.count(frame), 1  # the length of a list that nobody else reads
             else:
                 frame = self.step(frame, step)
             if step.labels:
@@ -175,8 +173,10 @@ class Planner(Branch, Reduce, Filters, Project, Navigate):
                 from weftgraph.plans.traversal import Step, Traversal
 
                 return self.coalesce(frame, (args[0], Traversal(steps=(Step("identity"),))))
-            case "choose" | "branch":
+            case "choose":
                 return self.choose(frame, step)
+            case "branch":
+                return self.branch(frame, step)
             case "local" | "flatMap":
                 return self.local(frame, args[0].steps)
             case "map":
@@ -189,7 +189,7 @@ class Planner(Branch, Reduce, Filters, Project, Navigate):
             case "repeat":
                 return self.repeat(frame, step)
             case "loops":
-                return self.put(frame, F.lit(frame.loops))
+                return self.put(frame, F.lit(self.loops_of(frame, args)))
             case "values":
                 return self.values(frame, args)
             case "properties":

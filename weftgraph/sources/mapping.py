@@ -45,6 +45,8 @@ class Mapping:
     def __init__(self, name: str, df: Source, id_: Property, label: Property, properties: dict[str, Property], dynamic: bool, excluded: Iterable[str] = ()) -> None:
         self.name, self._df, self.id, self.label, self.dynamic = name, df, id_, label, dynamic
         self.properties = dict(properties)
+        #: Rows by id that a mutation added and that nothing has changed since.
+        self.overlay: dict[str, dict[str, Any]] | None = None
         if dynamic:
             used = {f.split(".")[0].lower() for p in (id_, label, *properties.values()) for f in p.fields} | {e.lower() for e in excluded} | {k.lower() for k in properties}
             self.properties |= {c: Field(c) for c in self.df.columns if c.lower() not in used}
@@ -56,7 +58,7 @@ class Mapping:
         return self._df
 
     @df.setter
-    def df(self, df: DataFrame) -> None:
+    def df(self, df: Source) -> None:
         self._df = df
 
     @property
