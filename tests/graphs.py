@@ -36,40 +36,44 @@ def link(label, table, out, in_):
     return {"table": table, "id": "@id", "label": label, "properties": {}, "dynamicProperties": True, "outVertex": end("src", out), "inVertex": end("dst", in_)}
 
 
-def adjacency(spark):
-    nodes = spark.createDataFrame([(x, "n", "u0000000-0000-0000-0000-000000000001") for x in "abc"], "id string, label string, org_id string")
-    edges = spark.createDataFrame([("e1", "E", "a", "n", "b", "n", "u0000000-0000-0000-0000-000000000001"), ("e2", "E", "b", "n", "c", "n", "u0000000-0000-0000-0000-000000000001"), ("e3", "E", "a", "n", "c", "n", "u0000000-0000-0000-0000-000000000001")], "id string, label string, src_id string, src_label string, dst_id string, dst_label string, org_id string")
-    vertex = {"table": "adjnodes", "id": "@id", "label": "@label", "properties": {"org_id": {"field": "org_id", "type": "uuid"}}}
-    edge = link("E", "adjedges", None, None)
-    return Graph.of(spark, {"vertices": [vertex], "edges": [edge]}, {"adjnodes": nodes, "adjedges": edges}).traversal()
-
-
-def owners(spark):
-    """Hosts and persons that a host owns: targets of two kinds."""
-    hosts = spark.createDataFrame([("root", "open", "root", "r0"), ("h1", "open", "alpha", "r1"), ("h2", "open", "bravo", "r2"), ("h3", "closed", "charlie", "r3")], "id string, status string, name string, rack string")
-    people = spark.createDataFrame([("p1", "open", "delta"), ("p2", "open", "echo")], "id string, status string, name string")
-    rows = [("o1", "root", "host", "h1", "host"), ("o2", "root", "host", "h2", "host"), ("o3", "root", "host", "h3", "host"), ("o4", "root", "host", "p1", "person"), ("o5", "root", "host", "p2", "person"), ("o6", "h1", "host", "p1", "person")]
-    owns = spark.createDataFrame(rows, "id string, src_id string, src_label string, dst_id string, dst_label string")
-    config = {"vertices": [typed("host", "jp_host", status="status", name="name", rack="rack"), typed("person", "jp_person", status="status", name="name")], "edges": [link("owns", "jp_owns", None, None)]}
-    return Graph.of(spark, config, {"jp_host": hosts, "jp_person": people, "jp_owns": owns}).traversal()
-
-
-def lettered(spark):
-    """n1 a, n2 b, n3 c, n4 d; n1 to n2 and n3, n2 to n4."""
-    nodes = spark.createDataFrame([("n1", "a"), ("n2", "b"), ("n3", "c"), ("n4", "d")], "id string, name string")
-    links = spark.createDataFrame([("e1", "n1", "n2"), ("e2", "n1", "n3"), ("e3", "n2", "n4")], "id string, src_id string, dst_id string")
-    config = {"vertices": [typed("node", "u_node", name="name")], "edges": [link("link", "u_link", "node", "node")]}
-    return Graph.of(spark, config, {"u_node": nodes, "u_link": links}).traversal()
-
-
-def ring(spark, n=150):
-    nodes = spark.createDataFrame([(f"b{i}", f"x{i}") for i in range(n)], "id string, name string")
-    links = spark.createDataFrame([(f"l{i}", f"b{i}", f"b{(i + 1) % n}") for i in range(n)], "id string, src_id string, dst_id string")
-    config = {"vertices": [typed("node", "u_node", name="name")], "edges": [link("link", "u_link", "node", "node")]}
-    return Graph.of(spark, config, {"u_node": nodes, "u_link": links}).traversal()
-
-
-def ranged(spark):
-    hosts = spark.createDataFrame([(f"h{i}", n) for i, n in enumerate("alpha bravo charlie delta echo".split(), 1)], "id string, name string")
-    people = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate("foxtrot golf hotel".split(), 1)], "id string, name string")
-    return Graph.of(spark, {"vertices": [typed("host", "jr_host", name="name"), typed("person", "jr_person", name="name")]}, {"jr_host": hosts, "jr_person": people}).traversal()
+ALLIANCE = "0a1b2c3d-0000-4000-8000-00000000beef"
+
+
+def flights(spark):
+    """Four ports of one alliance: a chain of three flights and one that skips a port."""
+    ports = spark.createDataFrame([(x, "port", ALLIANCE) for x in ("ams", "osl", "rom", "lis")], "code string, kind string, alliance string")
+    legs = [("f1", "ams", "osl"), ("f2", "osl", "rom"), ("f3", "ams", "rom"), ("f4", "rom", "lis")]
+    flown = spark.createDataFrame([(i, "flies", a, "port", b, "port", ALLIANCE) for i, a, b in legs], "id string, label string, src_id string, src_label string, dst_id string, dst_label string, alliance string")
+    vertex = {"table": "ports", "id": "@code", "label": "@kind", "properties": {"alliance": {"field": "alliance", "type": "uuid"}}}
+    return Graph.of(spark, {"vertices": [vertex], "edges": [link("flies", "flown", None, None)]}, {"ports": ports, "flown": flown}).traversal()
+
+
+def boxes(spark):
+    """Boxes that hold boxes and jars: targets of two kinds."""
+    box = spark.createDataFrame([("crate", "full", "walnut", 9), ("b1", "full", "amber", 2), ("b2", "empty", "birch", 3), ("b3", "full", "cedar", 4)], "id string, state string, name string, size int")
+    jar = spark.createDataFrame([("j1", "full", "dill"), ("j2", "empty", "elder"), ("j3", "full", "fennel")], "id string, state string, name string")
+    rows = [("k1", "crate", "b1", "box"), ("k2", "crate", "b2", "box"), ("k3", "crate", "b3", "box"), ("k4", "crate", "j1", "jar"), ("k5", "crate", "j2", "jar"), ("k6", "b1", "j3", "jar"), ("k7", "b3", "j1", "jar")]
+    holds = spark.createDataFrame([(i, a, "box", b, kind) for i, a, b, kind in rows], "id string, src_id string, src_label string, dst_id string, dst_label string")
+    config = {"vertices": [typed("box", "box", state="state", name="name", size="size"), typed("jar", "jar", state="state", name="name")], "edges": [link("holds", "holds", None, None)]}
+    return Graph.of(spark, config, {"box": box, "jar": jar, "holds": holds}).traversal()
+
+
+def stations(spark):
+    """ash leads to bay and cove, cove to dell and elm."""
+    stops = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate("ash bay cove dell elm".split(), 1)], "id string, name string")
+    rails = spark.createDataFrame([("r1", "s1", "s2"), ("r2", "s1", "s3"), ("r3", "s3", "s4"), ("r4", "s3", "s5")], "id string, src_id string, dst_id string")
+    config = {"vertices": [typed("stop", "stops", name="name")], "edges": [link("rail", "rails", "stop", "stop")]}
+    return Graph.of(spark, config, {"stops": stops, "rails": rails}).traversal()
+
+
+def ring(spark, n=90):
+    stops = spark.createDataFrame([(f"c{i}", f"x{i}") for i in range(n)], "id string, name string")
+    rails = spark.createDataFrame([(f"t{i}", f"c{i}", f"c{(i + 1) % n}") for i in range(n)], "id string, src_id string, dst_id string")
+    config = {"vertices": [typed("stop", "stops", name="name")], "edges": [link("rail", "rails", "stop", "stop")]}
+    return Graph.of(spark, config, {"stops": stops, "rails": rails}).traversal()
+
+
+def waters(spark):
+    rivers = spark.createDataFrame([(f"r{i}", n) for i, n in enumerate("aar bug cam don ebro fal".split(), 1)], "id string, name string")
+    lakes = spark.createDataFrame([(f"l{i}", n) for i, n in enumerate("garda huron".split(), 1)], "id string, name string")
+    return Graph.of(spark, {"vertices": [typed("river", "rivers", name="name"), typed("lake", "lakes", name="name")]}, {"rivers": rivers, "lakes": lakes}).traversal()

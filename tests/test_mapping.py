@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from graphs import lettered, link, modern, typed
+from graphs import link, modern, stations, typed
 from pyspark.sql import functions as F
 
 from weftgraph import Graph, T, __, eq, gt, within
@@ -254,14 +254,14 @@ def test_arithmetic(spark):
 
 
 def test_anonymous_and_errors(spark):
-    g = lettered(spark)
+    g = stations(spark)
     assert [s.name for s in __.out("x").as_("y").in_().steps] == ["out", "in"]
     with pytest.raises(AttributeError):
         g.V().no_such_step()
     with pytest.raises(TypeError):
         g.V().values("name").out().df()
-    assert g.V().has(T.id, "n1").count().next() == 1
-    assert g.V().has("name", eq("a")).hasNext()
+    assert g.V().has(T.id, "s1").count().next() == 1
+    assert g.V().has("name", eq("ash")).hasNext()
 
 
 def test_jdbc(spark, tmp_path):

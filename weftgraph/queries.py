@@ -252,7 +252,7 @@ q("cyclic_path", "select count(*) as cnt from customer a join customer b on a.c_
 )
 
 # starts and hops
-q("inject_values", "select unnest([1, 2, 3]) as v", "v")(lambda g: g.inject(1, 2, 3))
+q("inject_values", "select cast(unnest([1, 2, 3]) as bigint) as v", "v")(lambda g: g.inject(1, 2, 3))
 q("mid_traversal_v", "select count(*) as cnt from region cross join nation where r_regionkey<2", "cnt")(lambda g: g.V("region", 0, 1).V().hasLabel("nation").count())
 q("both_v", "select count(*) * 2 as cnt from nation", "cnt")(lambda g: g.E().hasLabel("in_region").bothV().count())
 q("out_v", "select n_name as name from nation", "name")(lambda g: g.E().hasLabel("in_region").outV().values("name"))
@@ -261,18 +261,18 @@ q("none_step", "select 0 as cnt", "cnt")(lambda g: g.V().hasLabel("nation").none
 
 # collections
 q("fold_size", "select count(*) as cnt from region", "cnt")(lambda g: g.V().hasLabel("region").values("name").fold().count(local))
-q("fold_seed", "select sum(p_size) + 5 as v from part", "v")(lambda g: g.V().hasLabel("part").values("size").asLong().fold(5, lambda a, x: (a + x).cast("int")).df().select(F.col("value").cast("long")))
+q("fold_seed", "select cast(sum(p_size) + 5 as bigint) as v from part", "v")(lambda g: g.V().hasLabel("part").values("size").asLong().fold(5, lambda a, x: (a + x).cast("int")).df().select(F.col("value").cast("long")))
 q("aggregate_cap", "select n_name as v from nation", "v")(lambda g: g.V().hasLabel("nation").aggregate("x").by("name").cap("x").unfold())
 q("store_cap", "select r_name as v from region", "v")(lambda g: g.V().hasLabel("region").store("x").by("name").cap("x").unfold())
 q("order_local", "select string_agg(r_name, ',' order by r_name desc) as v from region", "v")(lambda g: g.V().hasLabel("region").values("name").fold().order(local).by(desc).conjoin(","))
 q("range_local", "select string_agg(r_name, ',' order by r_name) as v from region where r_regionkey in (1,2)", "v")(lambda g: g.V().hasLabel("region").values("name").order().fold().range_(local, 1, 3).conjoin(","))
 q("sum_local", "select cast(sum(r_regionkey) as int) as v from region", "v")(lambda g: g.V().hasLabel("nation").values("regionkey").dedup().fold().sum_(local))
 q("dedup_local", "select count(distinct n_regionkey) as v from nation", "v")(lambda g: g.V().hasLabel("nation").values("regionkey").fold().dedup(local).count(local))
-q("list_intersect", "select unnest([2, 3]) as v", "v")(lambda g: g.inject([1, 2, 3]).intersect([2, 3, 4]).unfold())
-q("list_difference", "select 1 as v", "v")(lambda g: g.inject([1, 2, 3]).difference([2, 3, 4]).unfold())
-q("list_disjunct", "select unnest([1, 4]) as v", "v")(lambda g: g.inject([1, 2, 3]).disjunct([2, 3, 4]).unfold())
-q("list_merge", "select unnest([1, 2, 3, 4]) as v", "v")(lambda g: g.inject([1, 2, 3]).merge([2, 3, 4]).unfold())
-q("list_combine", "select unnest([1, 2, 2, 3]) as v", "v")(lambda g: g.inject([1, 2]).combine([2, 3]).unfold())
+q("list_intersect", "select cast(unnest([2, 3]) as bigint) as v", "v")(lambda g: g.inject([1, 2, 3]).intersect([2, 3, 4]).unfold())
+q("list_difference", "select cast(1 as bigint) as v", "v")(lambda g: g.inject([1, 2, 3]).difference([2, 3, 4]).unfold())
+q("list_disjunct", "select cast(unnest([1, 4]) as bigint) as v", "v")(lambda g: g.inject([1, 2, 3]).disjunct([2, 3, 4]).unfold())
+q("list_merge", "select cast(unnest([1, 2, 3, 4]) as bigint) as v", "v")(lambda g: g.inject([1, 2, 3]).merge([2, 3, 4]).unfold())
+q("list_combine", "select cast(unnest([1, 2, 2, 3]) as bigint) as v", "v")(lambda g: g.inject([1, 2]).combine([2, 3]).unfold())
 q("list_all_any", "select true as v", "v")(lambda g: g.inject([1, 2]).all_(gt(0)))
 q("union_distinct", "select n_name as name from nation", "name")(lambda g: g.V().hasLabel("nation").union(__.values("name"), __.values("name")).dedup())
 
@@ -281,7 +281,7 @@ q("as_number", "select cast(r_regionkey as double) as v from region", "v")(lambd
 q("as_number_whole", "select p_size as v from part", "v")(lambda g: g.V().hasLabel("part").values("size").asNumber())
 q("abs_number", "select abs(s_acctbal) as v from supplier", "v")(lambda g: g.V().hasLabel("supplier").values("acctbal").abs())
 q("as_date", "select count(*) as cnt from orders where o_orderdate + interval 1 day > timestamp '1998-01-01'", "cnt")(lambda g: g.V().hasLabel("order").values("orderdate").asDate().dateAdd("day", 1).is_(gt("1998-01-01")).count())
-q("text_length", "select length(n_name) as v from nation", "v")(lambda g: g.V().hasLabel("nation").values("name").length())
+q("text_length", "select cast(length(n_name) as int) as v from nation", "v")(lambda g: g.V().hasLabel("nation").values("name").length())
 q("text_split", "select unnest(string_split(r_name, '_')) as v from region", "v")(lambda g: g.V().hasLabel("region").values("name").split("_").unfold())
 q("text_reverse_trim", "select reverse(n_name) as v from nation", "v")(lambda g: g.V().hasLabel("nation").values("name").concat(" ").trim().reverse())
 q("sack_sum", "select cast(10 + r_regionkey as int) as v from nation join region on n_regionkey=r_regionkey", "v")(lambda g: g.withSack(10).V().hasLabel("nation").sack("sum").by("regionkey").sack())
