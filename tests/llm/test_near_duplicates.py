@@ -41,6 +41,8 @@ def test_components(spark):
     df = spark.createDataFrame([*links, (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert all(got.get(i, i) == want[i] for i in range(600))
+    for block in (1, 7, 50):  # links of several blocks are connected by steps
+        assert {r["node"]: r["component"] for r in connected_components(df, block=block).collect()} == got
     assert connected_components(df.limit(0)).count() == 0
 
 

@@ -351,11 +351,9 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of vertices those whose shingle sets are similar."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "similar-pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     held = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
-    links = materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
-    discard(pairs)
-    return links
+    return materialize(map_arrow(held, _verifier, "a long, b long"), "similar-links")
 
 
 def _set_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,10 +453,10 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     index = indexed_prefixes(sets)
     members = members.join(index.select("node", "lone"), "node")
 
-    links = _similar(by_balls, sets)
+    groups = connected_components(_similar(by_balls, sets))
     for round_ in range(ROUNDS):
         # the most central member, which shares most of its shingles, against the others; later on among those outside the largest part
-        apart = materialize(_apart(members, connected_components(links)), "similar-apart")
+        apart = materialize(_apart(members, groups), "similar-apart")
         pool = apart.filter("component <> top") if round_ else apart
         leader = pool.groupBy("key").agg(F.min(F.struct("lone", "node", "component")).alias("first"))
         pairs = pool.join(leader, "key").filter("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
@@ -466,10 +464,11 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         discard(apart)
         if more.isEmpty():
             break
-        links = materialize(links.union(more), "similar-all")
+        # a component's nodes all lead to its smallest, which says as much as the links that made it
+        groups = connected_components(groups.toDF("a", "b").union(more))
     # what is still apart: pairs that share a shingle of both prefixes with room for enough common ones after it
     rows = index.select("node", "size", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(F.col("g.grams").alias("key"), "node", "size", F.col("g.places").alias("place"))
-    apart = materialize(_apart(rows, connected_components(links)), "similar-apart")
+    apart = materialize(_apart(rows, groups), "similar-apart")
     one, two = apart.filter("component <> top").alias("x"), apart.alias("y")
     room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
     top, bottom = SIMILAR
@@ -477,9 +476,9 @@ def similar_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     # two outside the largest part are paired once, and one outside with one inside
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & enough & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = materialize(links.union(_similar(pairs, sets)), "similar-all")
+    more = _similar(pairs, sets)
     discard(sets, index, apart)
-    return connected_components(links)
+    return groups if more.isEmpty() else connected_components(groups.toDF("a", "b").union(more))
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
