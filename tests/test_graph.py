@@ -26,6 +26,19 @@ def test_scans(g):
     assert g.V("1").df().columns[:2] == ["id", "label"]
 
 
+def test_a_labelled_filter_is_part_of_the_scan(g):
+    both = g.V().has("name", "marko").as_("a").out("knows").hasLabel("person").as_("b").has("age", gt(30)).select("a", "b").by("name")
+    assert [(r["a"], r["b"]) for r in both.df().collect()] == [("marko", "josh")]
+    opened = []
+    tables = {"cats": "id long, name string", "dogs": "id long, weight double"}
+    config = {"vertices": [{"table": t, "id": "@id", "label": t, "dynamicProperties": False, "properties": {c: f"@{c}" for c in ("name", "weight") if c in s}} for t, s in tables.items()]}
+    graph = Graph.of(g.graph.spark, config, {t: g.graph.spark.createDataFrame([], s) for t, s in tables.items()})
+    for m in graph.vertices:
+        m.df = lambda df=m.df, name=m.name: opened.append(name) or df
+    assert graph.traversal().V().hasLabel("cats").as_("x").select("x").by("name").toList() == []
+    assert opened == ["cats"]
+
+
 def test_mid_traversal_scan(g):
     assert g.V().hasLabel("software").V().hasLabel("person").count().next() == 8
 

@@ -170,6 +170,11 @@ def as_kind(c: Column, have: T.DataType, want: T.DataType) -> Column:
     return c.cast(want)
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    """All rows of all parts; a column that a part lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def join_labels(sets: Iterable[frozenset[str] | None]) -> frozenset[str] | None:
     sets = list(sets)
     return None if any(s is None for s in sets) else frozenset().union(*sets)
@@ -223,12 +228,12 @@ class Base:
         parts = []
         for m, rows in found:
             cols = [m.id.expr().cast(key_type).alias(key), m.label.expr().cast("string").alias(label)]
-            cols += [(as_kind(m.properties[k].expr(), m.kinds[k], kinds[k]) if k in m.properties else F.lit(None).cast(kinds[k])).alias(columns[k]) for k in names]
+            cols += [as_kind(p.expr(), m.kinds[k], kinds[k]).alias(columns[k]) for k, p in m.properties.items()]
             for f in own:
                 cols += self._foreign_columns(f)
             parts.append(rows.select(*cols))
         labels = join_labels(m.labels for m, _ in found)
-        return reduce(DataFrame.unionByName, parts), Vertex(key, label, key_type, labels, columns, kinds, tuple(own), single)
+        return united(parts), Vertex(key, label, key_type, labels, columns, kinds, tuple(own), single)
 
     def _foreign_columns(self, f: Foreign) -> list[Column]:
         e, c = f.mapping, f.columns
@@ -262,9 +267,9 @@ class Base:
         for e, near, rows in found:
             n, f = e.end(near), e.end(other[near])
             cols = [e.id.expr().cast("string").alias(id_), e.label.expr().cast("string").alias(label), n.id.expr().cast(near_type).alias(nk), n.label.expr().cast("string").alias(nl), f.id.expr().cast(far_type).alias(fk), f.label.expr().cast("string").alias(fl), F.lit(near == "out").alias(turned)]
-            cols += [(as_kind(e.properties[k].expr(), e.kinds[k], kinds[k]) if k in e.properties else F.lit(None).cast(kinds[k])).alias(columns[k]) for k in names]
+            cols += [as_kind(e.properties[k].expr(), e.kinds[k], kinds[k]).alias(columns[k]) for k in names if k in e.properties]
             parts.append(rows.select(*cols))
-        df = reduce(DataFrame.unionByName, parts)
+        df = united(parts)
         near_v = Vertex(nk, nl, near_type, join_labels(e.end(n).label.known for e, n, _ in found))
         far_v = Vertex(fk, fl, far_type, join_labels(e.end(other[n]).label.known for e, n, _ in found))
         sides = {n for _, n, _ in found}

@@ -49,10 +49,10 @@ class Planner(Branch, Reduce, Filters, Project, Navigate):
         if steps[at].labels:
             return 0, []
         while at + 1 + taken < len(steps) and steps[at + 1 + taken].name in HAS and (own := self.folded(steps[at + 1 + taken])):
-            if steps[at + 1 + taken].labels:
-                break
             out += own
             taken += 1
+            if steps[at + taken].labels:
+                break
         return taken, out
 
     def run_steps(self, frame: Frame | None, steps: tuple) -> Frame:
@@ -65,8 +65,8 @@ class Planner(Branch, Reduce, Filters, Project, Navigate):
                 frame = self.move(frame, step, folded)
             else:
                 frame = self.step(frame, step)
-            if step.labels:
-                frame = replace(frame, tags={**frame.tags, **{x: frame.cur for x in step.labels}})
+            if named := steps[at + taken].labels:
+                frame = replace(frame, tags={**frame.tags, **{x: frame.cur for x in named}})
             if self.keeps_path and not frame.scope and step.name not in ("path", "simplePath", "cyclicPath", "as", "identity", "tree", "limit", "range", "skip", "order", "dedup", "where", "filter", "not", "and", "or", "is", *HAS, "hasNot", "repeat", "union", "choose", "coalesce", "optional", "local", "barrier", "aggregate", "store", "sample", "coin", "tail") and not frame.empty:
                 frame = self.remember(frame, self.path_bys)
             at += 1 + taken

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column
@@ -15,6 +16,7 @@ from weftgraph.functions.predicates import P, all_of, any_of, eq, false, within,
 JAVA_MILLIS = "yyyy-MM-dd HH:mm:ss:SSS"
 
 
+@lru_cache(4096)
 def quoted(name: str) -> Column:
     """A column by its name, with dots as paths into nested fields."""
     return F.col(".".join(f"`{part}`" for part in name.split(".")))
