@@ -574,6 +574,24 @@ def test_top_k_in_a_dense_cluster(spark):
     assert got == sorted(want)
 
 
+def test_looked_up_values_are_not_sent_through_the_driver(spark):
+    """2,000 queries look up 8 x 37 values each: far more than their own size says, by which Spark would broadcast them."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(-(2**63), 2**63, 20000).tolist()
+    segments = hamming.segments_for(2)
+    queries = _shared.materialize(spark.createDataFrame([(c,) for c in codes[:2000]], "q long"), "queries")
+    rows = [(c, 1, i, s, c % 2**64 >> at & 255) for i, c in enumerate(codes) for s, (at, _) in enumerate(segments)]
+    index = _shared.materialize(spark.createDataFrame(rows, "c long, n long, first long, iseg int, ivalue long"), "index")
+    plan = lambda q: hamming.within_radii(q, index, segments, [2] * 8, 23, 11)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(queries)
+    assert "Broadcast" in plan(_shared.materialize(queries.limit(300), "few"))
+
+
+def test_top_k_without_broadcast_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BROADCAST", 0)
+    test_top_k_equals_brute_force(spark, 700, 10)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, code long")
     assert hamming.top_k(df, "code", "vec_id", F.col("vec_id") % 50 == 0).count() == 0

@@ -21,6 +21,8 @@ from weftgraph.llm._shared import materialize
 
 BITS = 64
 SALT = 64
+#: Looked-up values that go to every task at most; more are shuffled to their buckets.
+BROADCAST = 100_000
 
 
 def segments_for(n: int) -> list[tuple[int, int]]:
@@ -49,18 +51,24 @@ def _signed(x: int) -> int:
 
 def within_radii(queries: DataFrame, index: DataFrame, segments: list[tuple[int, int]], radii: list[int], most: int, keep: int) -> DataFrame:
     """(q, c, dist, n, first): pairs of a query and an indexed code that differ in at most ``most`` bits and in at most its radius in
-    some segment; each pair once, from the first such segment. Of each query the ``keep`` nearest, by distance and ``first``."""
-    probes = []
+    some segment; each pair once, from the first such segment. Of each query the ``keep`` nearest, by distance and ``first``.
+
+    Spark takes the looked-up values for no more than their queries, and would send any number of them through the driver: so they are
+    counted here, and more than ``BROADCAST`` are shuffled."""
+    probes, each = [], 0
     for s, (at, width) in enumerate(segments):
         if radii[s] >= 0:
-            flips = F.split(F.lit(",".join(map(str, map(_signed, _flips(width, radii[s]))))), ",").cast("array<bigint>")
+            values = _flips(width, radii[s])
+            each += len(values)
+            flips = F.split(F.lit(",".join(map(str, map(_signed, values)))), ",").cast("array<bigint>")
             probes.append(queries.select("q", F.lit(s).alias("seg"), F.explode(flips).alias("flip"), _part(F.col("q"), at, width).alias("own")))
     probe = reduce(DataFrame.union, probes).select("q", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
     first = F.lit(True)
     for s in range(len(segments)):
         earlier = [_distance(_part(F.col("q"), *segments[e]), _part(F.col("c"), *segments[e])) > radii[e] for e in range(s)]
         first = first & ((F.col("seg") != s) | reduce(lambda a, b: a & b, earlier, F.lit(True)))
-    probe, index = probe.alias("p"), index.alias("i")
+    few = queries.count() * each <= BROADCAST
+    probe, index = probe.hint("broadcast" if few else "merge").alias("p"), index.alias("i")
     near = probe.join(index, (F.col("p.seg") == F.col("i.iseg")) & (F.col("p.value") == F.col("i.ivalue")) & (_distance(F.col("q"), F.col("c")) <= most) & first)
     near = near.select("q", "c", _distance(F.col("q"), F.col("c")).alias("dist"), "n", "first")
     # Spark ranks within each task first, and shuffles only what can be among the nearest
