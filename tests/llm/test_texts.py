@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _shared, hamming, langid, ngrams, pieces, warc
-from weftgraph.llm.extract import blocks_of, boilerplate, covered_tokens, extract_text, unique_runs
+from weftgraph.llm.extract import blocks_of, boilerplate, covered_tokens, extract_text, host_repeats, suffix_array, unique_runs
 from weftgraph.llm.secrets import mask_secrets, scan_secrets
 
 # secrets
@@ -491,6 +491,34 @@ def test_repeats_equal_the_plain_definition(spark):
         assert mine.tolist() == (strong | weak).tolist(), (i, tokens)
 
 
+def test_suffix_arrays_equal_sorted_suffixes():
+    rng = random.Random(3)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (200, 2), (300, 5), (300, 1000)):
+        codes = []
+        for i in range(4):
+            codes += [*(rng.randrange(kinds) for _ in range(n)), -1 - i]
+        order, shared = suffix_array(np.array(codes, np.int64), 512)
+        want = sorted(range(len(codes)), key=lambda i: codes[i:])
+        assert order.tolist() == want
+        same = lambda a, b: next(k for k, (x, y) in enumerate(zip(codes[a:], codes[b:], strict=False)) if x != y)
+        assert shared.tolist() == [0, *(same(a, b) for a, b in zip(want, want[1:], strict=False))]
+        assert np.minimum(suffix_array(np.array(codes, np.int64), 8)[1], 8).tolist() == np.minimum(shared, 8).tolist()
+
+
+def test_a_large_host_has_several_arrays(spark):
+    """Parts of a host tell the same as one array of it, for words and for blocks in articles, on which markup is sure."""
+    rng = random.Random(4)
+    words = [(i, "hb"[i % 3 == 0], i % 2 + 1, " ".join(rng.choice("abc") for _ in range(rng.randrange(30)))) for i in range(60)]
+    df = spark.createDataFrame(words, "id long, host string, n long, outside string")
+    whole, parts = (sorted(map(tuple, boilerplate(df, 3, 6, most).collect())) for most in (1 << 20, 25))
+    assert whole == parts and len(whole) > 30
+    lines = [(i, "h", 1, [7, 100 + i, 7] + [9] * (i < 5)) for i in range(12)]
+    df = spark.createDataFrame(lines, "id long, host string, n long, tokens array<long>")
+    for most in (1 << 20, 5):
+        found = host_repeats(df, F.size("tokens"), (1,), most).groupBy("head").agg(F.sum("pages"), F.sum(F.size("ids"))).collect()
+        assert {tuple(r) for r in found if r[1] > 1} == {(7, 12, 24), (9, 5, 5)}
+
+
 def test_passages_stay_and_boilerplate_goes_without_articles(spark):
     bar = "share this page with your friends on all networks now"
     passage = " ".join(f"quoted{k}" for k in range(60))
