@@ -1,7 +1,7 @@
 """Contracts of the traversal engine on small graphs."""
 
 import pytest
-from graphs import ALLIANCE, boxes, flights, modern, ring, stations, waters
+from graphs import ALLIANCE, boxes, flights, link, modern, ring, stations, typed, waters
 
 from weftgraph import Date, Graph, T, Text, TextP, __, between, desc, eq, exists, gt, gte, inside, keys, local, lt, lte, neq, outside, type_of, values, within, without
 
@@ -329,3 +329,71 @@ def test_dates(spark):
     assert vals(g.V().has("at", Date.between("2024-01-01", "2025-01-01")).id()) == ["1", "2"]
     assert vals(g.V().has("shown", "01/06/2024").id()) == ["2"]
     assert vals(g.V().has("shown", Date.lt("2024-03-01")).id()) == ["1"]
+
+
+def towns(spark, kind="@kind"):
+    """People of towns, one of no town and some of one key, with one label or several, of which one is not known; streets with loops and parallels."""
+    people = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 1, "b"), (4, 2, "b"), (5, None, "a"), (6, 2, None), (7, 3, "a"), (7, 1, "a"), (7, 1, "b"), (2, 2, None)], "id long, town long, kind string")
+    rows = [(1, "a", 2, "a"), (2, "a", 1, "a"), (1, "a", 2, "a"), (1, "a", 1, "a"), (3, "b", 2, "a"), (2, "a", 4, "b"), (7, "b", 7, None), (7, "a", 7, "b"), (1, "a", 7, None), (4, "b", 1, "a")]
+    streets = spark.createDataFrame([(f"s{i}", *r) for i, r in enumerate(rows)], "id string, src_id long, src_label string, dst_id long, dst_label string")
+    person = typed(kind, "people", kind="kind") | {"edges": [{"id": "@id", "label": "lives", "vertex": {"ref": True, "id": "@town", "label": "town"}}]}
+    return Graph.of(spark, {"vertices": [person], "edges": [link("street", "streets", None, None)]}, {"people": people, "streets": streets}).traversal()
+
+
+def neighbours(g):
+    return g.V().as_("a").out("lives").in_("lives").as_("b")
+
+
+def joins(t):
+    return t.df()._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_pairs_are_counted_without_a_join(spark):
+    g = towns(spark, "one")
+    for t, n in [(neighbours(g), 35), (neighbours(g).where("a", neq("b")), 24), (neighbours(g).where("a", eq("b")), 11), (neighbours(g).where(neq("a")), 24), (neighbours(g).has("kind", "a").where("b", neq("a")), 11)]:
+        assert joins(t.count()) == 0 and t.count().next() == len(t.id().toList()) == n
+    many = Graph.of(spark, {"vertices": [typed("one", "p") | {"edges": [{"id": "@id", "label": "lives", "vertex": {"ref": True, "id": "@town", "label": "town"}}]}]}, {"p": spark.range(400_000).selectExpr("id", "id % 2 as town")}).traversal()
+    assert neighbours(many).where("a", neq("b")).count().next() == 2 * (200_000**2 - 200_000)
+
+
+@pytest.mark.parametrize("kind", ["@kind", "one"])
+@pytest.mark.parametrize(
+    "f",
+    [
+        lambda g: neighbours(g).where("a", neq("b")),
+        lambda g: neighbours(g).where("b", eq("a")),
+        lambda g: neighbours(g).hasLabel("a", "one").where("a", neq("b")),
+        lambda g: neighbours(g).hasId(1, 7).where(neq("a")),
+        lambda g: neighbours(g).has("kind", "a").where("a", neq("b")),
+        lambda g: neighbours(g).where("a", neq("b")).by("kind"),
+        lambda g: neighbours(g).where("a", neq("b")).where("a", eq("b")),
+        lambda g: neighbours(g).where("a", neq("b").or_(eq("a"))),
+        lambda g: neighbours(g).where("a", neq("b")).limit(3),
+        lambda g: neighbours(g).where("a", neq("b")).out("lives").in_("lives"),
+        lambda g: g.V().has("kind", "z").as_("a").out("lives").in_("lives").as_("b").where("a", neq("b")),
+        lambda g: g.V().as_("a").outE("street").inV().inE("street").as_("f").where("a", neq("f")),
+        lambda g: g.V().union(__.out("lives").in_("lives"), __.out("lives")),
+        lambda g: g.V().where(__.out("lives").in_("lives").count().is_(gt(5))),
+    ],
+)
+def test_a_count_of_pairs_is_that_of_the_rows(spark, f, kind):
+    t = f(towns(spark, kind))
+    assert t.count().next() == len(t.constant("x").toList())
+
+
+@pytest.mark.parametrize(
+    "f",
+    [
+        lambda g: g.V().as_("a").out("street").in_("street").as_("b").where("b", neq("a")),
+        lambda g: g.V().as_("a").both("street").both("street").as_("b").where("a", neq("b")),
+        lambda g: g.V().as_("a").out("street").as_("c").out("street").as_("b").where("a", neq("b")).where("c", neq("b")),
+        lambda g: g.V().as_("a").out("street").as_("c").out("street").as_("b").where("a", neq("c")).where("a", neq("b")),
+        lambda g: g.V().as_("a").out("street").as_("c").out("street").as_("b").where("a", eq("c")).where("c", neq("b")),
+        lambda g: g.E().as_("e").inV().inE("street").as_("f").where("e", neq("f")),
+        lambda g: g.E().as_("e").inV().inE("street").as_("f").where("e", eq("f")),
+    ],
+)
+def test_a_count_of_pairs_by_a_table_of_edges(spark, f):
+    t = f(towns(spark))
+    rows = t.constant("x").toList()
+    assert t.count().next() == len(rows) > 0 and (joins(t.count()) < joins(t.constant("x")) or len([s for s in t.steps if s.name == "where"]) > 1)
